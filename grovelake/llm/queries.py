@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read
-from . import conversations, credentials, encoding
+from . import conversations, credentials, encoding, subjects
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,18 @@ def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_counts(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_conversations, p3_found, p3_redacted, p6_ids, p6_sizes)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The subject areas of each document."""
+    return subjects.document_subjects(read(spark, d, "documents"), read(spark, d, "subject_areas"), read(spark, d, "subject_labels"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document each subject takes up."""
+    docs = read(spark, d, "documents")
+    return subjects.subject_shares(docs, subjects.train(docs, read(spark, d, "subject_areas"), read(spark, d, "subject_labels")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_conversations, p3_found, p3_redacted, p6_ids, p6_sizes, p8_found, p8_shares)}
 
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 _TURNS = rf"""with rows as (
