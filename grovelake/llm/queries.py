@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read
-from . import conversations, credentials, encoding, subjects
+from . import conversations, credentials, encoding, mixing, subjects
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +51,16 @@ def p6_sizes(spark: SparkSession, d: str) -> DataFrame:
     return encoding.token_counts(read(spark, d, "documents"))
 
 
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix with their repeat counts."""
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The actual share of each source in each mix."""
+    return mixing.mix_shares(p7_mix(spark, d), read(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The subject areas of each document."""
     return subjects.document_subjects(read(spark, d, "documents"), read(spark, d, "subject_areas"), read(spark, d, "subject_labels"))
@@ -62,7 +72,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_shares(docs, subjects.train(docs, read(spark, d, "subject_areas"), read(spark, d, "subject_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_conversations, p3_found, p3_redacted, p6_ids, p6_sizes, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_conversations, p3_found, p3_redacted, p6_ids, p6_sizes, p7_mix, p7_shares, p8_found, p8_shares)}
 
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 _TURNS = rf"""with rows as (
