@@ -58,21 +58,52 @@ def truncate_label(text, limit: int = LABEL_BYTES) -> Column:
     room = limit - 3
     # a character has one to four bytes, so the prefix has between room / 4 and room characters
     fits = F.filter(F.sequence(F.lit(room // 4), F.lit(room)), lambda n: F.octet_length(F.substring(text, F.lit(1), n)) <= room)
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.substring(text, F.lit(1), F.array_max(fits))), F.lit("...")))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(F.substring(text, F.lit(1), F.array_max(fits)), F.lit("...")))
 
 
-def node_label(node_type, content) -> Column:
-    """The label of a node by its type: of a heading its text, of a list its first item, of a table its header, of code its language and first line, otherwise the first sentence or line."""
-    line = first_line(F.ltrim(content))
-    items = F.size(F.split(content, "\n"))
+def top_keys(content, most: int = 0) -> Column:
+    """The names before ``:`` of the lines that are not indented; the first ``most`` of them, all for 0."""
+    keyed = F.filter(F.split(content, "\n"), lambda line: line.rlike(r"^[^ \t:][^:]*:"))
+    keys = F.transform(keyed, lambda line: F.regexp_extract(line, r"^([^:]*):", 1))
+    return F.slice(keys, 1, most) if most else keys
+
+
+def node_label(node_type, content, fmt=None) -> Column:
+    """The label of a node by its type.
+
+    A heading's text; of a list how many items and the first; of a table its columns and rows; of code its language and
+    first line; of key-value text its first three keys; of a preamble all of them; of an embed its kind with the
+    alternative text or the address; else the first sentence. At most ``LABEL_BYTES`` bytes.
+    """
+    fmt = F.lit("plain") if fmt is None else fmt
+    lines = F.split(content, "\n")
+    items = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("- ")))
+    listed = F.concat(F.size(items).cast("string"), F.lit("-item list: "), F.regexp_replace(F.get(items, 0), r"^- ", ""))
+    list_label = F.when((fmt == "toon") & F.contains(content, F.lit(":")), F.regexp_extract(content, r"^([^:]*):", 1)).when(F.size(items) > 0, listed).otherwise(content)
+    rows = (F.size(lines) - 1).cast("string")
+    table = F.concat(F.lit("Table: "), F.regexp_replace(F.get(lines, 0), "\t", ", "), F.lit(" ("), rows, F.lit(" rows)"))
+    first = F.trim(F.get(lines, 0))
+    is_language = (first != "") & (F.octet_length(first) < LABEL_BYTES) & ~F.contains(first, F.lit(" ")) & (F.size(lines) > 1)
+    code = F.when(is_language, F.concat(F.lit("Code ("), first, F.lit("): "), F.trim(F.get(lines, 1)))).otherwise(F.concat(F.lit("Code: "), first))
+    keys = top_keys(content, 3)
+    kv = F.when(F.size(keys) > 0, F.array_join(keys, ", ")).otherwise(content)
+    front = F.when(F.size(top_keys(content)) > 0, F.concat(F.lit("Preamble: "), F.array_join(top_keys(content), ", "))).otherwise("Preamble")
+    kind = F.when(F.coalesce(fmt, F.lit("")) == "", "embed").otherwise(fmt)
+    alt = F.regexp_extract(content, r"^!?\[?([^\]]*)\]", 1)
+    shown = F.when(alt != "", alt).otherwise(F.regexp_extract(content, r"\]\(?([^)]*)\)", 1))
+    title = F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, F.lit(2), F.length(kind)))
+    embed = F.when(shown != "", F.concat(title, F.lit(": "), shown)).otherwise(title)
     by_type = (
-        F.when(node_type == "heading", content)
-        .when(node_type == "list", F.concat(F.regexp_replace(line, r"^- ", ""), F.when(items > 1, F.concat(F.lit(" (+"), items - 1, F.lit(" more)"))).otherwise("")))
-        .when(node_type == "table", F.regexp_replace(line, "\t", ", "))
-        .when(node_type.isin("code", "kv", "preamble", "embed"), line)
-        .otherwise(first_line(first_sentence(content)))
+        F.when(node_type == "list", list_label)
+        .when(node_type == "table", table)
+        .when(node_type == "code", code)
+        .when(node_type == "kv", kv)
+        .when(node_type == "preamble", front)
+        .when(node_type == "embed", embed)
+        .when(node_type == "text", first_sentence(content))
+        .otherwise(content)
     )
-    return truncate_label(F.trim(by_type))
+    return truncate_label(by_type)
 
 
 def human_bytes(n) -> Column:

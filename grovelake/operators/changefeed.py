@@ -106,20 +106,25 @@ def publish(df: DataFrame, root: str) -> str:
     The bucket files are written to a folder of their own. Only when all of them are there does the pointer file
     ``CURRENT`` change, by a rename; a job that fails half-way leaves the former version in force.
     """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{version}")
+    path = f"{root}/v-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    swap_pointer(df.sparkSession, root, path)
+    return path
+
+
+def swap_pointer(spark: SparkSession, root: str, version: str) -> None:
+    """Make the folder ``version`` of ``root`` the one in force."""
+    name = version.rsplit("/", 1)[-1]
     fs, pointer = hadoop_fs(spark, f"{root}/CURRENT")
-    _, staged = hadoop_fs(spark, f"{root}/CURRENT.{version}")
+    _, staged = hadoop_fs(spark, f"{root}/CURRENT.{name}")
     out = fs.create(staged, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(name.encode()))
     out.close()
     options = spark._jvm.org.apache.hadoop.fs.Options.Rename
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark._jsc.hadoopConfiguration())
     rename = spark.sparkContext._gateway.new_array(options, 1)
     rename[0] = options.OVERWRITE
     context.rename(staged, pointer, rename)
-    return f"{root}/{version}"
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
