@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..durable import hadoop_fs
 from ..session import ship
+from ..tables import exact
 
 STATE_SCHEMA = "node_id string, snapshot_id long, diff_id long, is_removed boolean"
 #: Memory of one task's embedded DuckDB; it holds one row per node of its bucket and spills beyond that.
@@ -22,13 +23,15 @@ UPSERT_ROWS = 65_536
 def committed_changes(diffs: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(node_id, snapshot_id, diff_id, is_removed): the distinct changes of committed snapshots.
 
-    ``op`` counts without case and outer spaces; rows with another op than add, mod and rem, and rows without node or
-    snapshot, are no changes. Rows equal in snapshot_id, node_id, op, old_hash and new_hash (nulls equal) are one change
+    ``op`` counts without case and outer spaces; rows with another op than add, mod and rem, and rows without id, node
+    or snapshot, are no changes. Rows equal in snapshot_id, node_id, op, old_hash and new_hash (nulls equal) are one change
     under its lowest id: a map-side aggregate whose key spreads even a single node's rows over all tasks.
     """
     op = F.lower(F.trim("op"))
+    diffs = exact(diffs, "id", "snapshot_id", "node_id", "op", "old_hash", "new_hash")
+    snapshots = exact(snapshots, "id")
     known = snapshots.where(F.col("id").isNotNull()).select(F.col("id").alias("snapshot_id")).distinct()
-    feed = diffs.where(F.col("node_id").isNotNull() & op.isin("add", "mod", "rem")).select(
+    feed = diffs.where(F.col("id").isNotNull() & F.col("node_id").isNotNull() & op.isin("add", "mod", "rem")).select(
         "node_id", "snapshot_id", op.alias("op"), "old_hash", "new_hash", F.col("id").alias("diff_id")
     )
     feed = feed.join(known, "snapshot_id", "left_semi")
@@ -96,7 +99,7 @@ def existing_nodes(state: DataFrame) -> DataFrame:
 
 def with_content(existing: DataFrame, diffs: DataFrame) -> DataFrame:
     """(node_id, diff_id, content): contents are fetched by the winning change's id only after the winners are known."""
-    texts = diffs.groupBy(F.col("id").alias("diff_id")).agg(F.max("new_content").alias("content"))
+    texts = exact(diffs, "id", "new_content").groupBy(F.col("id").alias("diff_id")).agg(F.max("new_content").alias("content"))
     return existing.join(texts, "diff_id", "left").select("node_id", "diff_id", "content")
 
 

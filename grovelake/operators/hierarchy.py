@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
-from ..tables import blank_to_null
+from ..tables import blank_to_null, exact
 
 ROOTED, BROKEN, CYCLIC = "rooted", "broken", "cyclic"
 
@@ -35,7 +35,7 @@ def resolve_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "p
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "hierarchy")
-    base = nodes.where(F.col(id_col).isNotNull()).select(
+    base = exact(nodes, *dict.fromkeys([id_col, parent_col, *extra])).where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("node_id"), blank_to_null(F.col(parent_col)).alias("parent_id"), *[F.col(c).alias(f"_x_{c}") for c in extra]
     )
     base_path, base = scratch.write(base)
@@ -100,13 +100,15 @@ def _loops(scratch: Scratch, unresolved: DataFrame, n: int, jump: int, like: Dat
     path, loop = scratch.write(unresolved.select("node_id", "ptr", "low"))
     target = lambda t: t.select(F.col("node_id").alias("_id"), F.col("ptr").alias("_ptr"), F.col("low").alias("_low"))
     jump //= 2
+
+    def doubled(t: DataFrame) -> DataFrame:
+        return t.join(target(t), F.col("ptr") == F.col("_id")).select("node_id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low"))
+
     while jump < n:
-        doubled = loop.join(target(loop), F.col("ptr") == F.col("_id")).select(
-            "node_id", F.col("_ptr").alias("ptr"), F.least("low", "_low").alias("low")
-        )
-        old, (path, loop) = path, scratch.write(doubled)
+        # two doublings between writes: these tables are small beside the jobs that write them
+        old, (path, loop) = path, scratch.write(doubled(doubled(loop)))
         scratch.drop(old)
-        jump *= 2
+        jump *= 4
     kinds = dict(like.dtypes)
     on_loop = loop.join(target(loop), F.col("ptr") == F.col("_id"))
     return on_loop.select(

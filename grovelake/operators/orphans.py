@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
-from ..tables import blank_to_null, current_rows
+from ..tables import blank_to_null, current_rows, exact
 
 SEPARATOR = "\u0001"
+#: Columns that are read of pending references.
+PENDING = ["id", "target_label", "target_source", "target_id_hint", "created_at"]
 #: A key referred to by more rows than this is handed to several tasks when its records are listed.
 HOT_KEY_ROWS = 200_000
 #: Tasks among which the records of one hot key are spread.
@@ -32,6 +34,8 @@ def child_keys(nodes: DataFrame, relations: DataFrame, pending: DataFrame) -> Da
     tree = tree.where(blank_to_null(F.col("parent_id")).isNotNull()).select(
         F.lit("nodes").alias("table_name"), F.col("id").alias("record_id"), "created_at", F.lit("id").alias("kind"), F.col("parent_id").alias("key")
     )
+    relations = exact(relations, "id", "target_node_id", "created_at")
+    pending = exact(pending, *PENDING)
     links = relations.select(
         F.lit("relations").alias("table_name"),
         F.col("id").cast("string").alias("record_id"),
@@ -60,6 +64,7 @@ def parent_keys(nodes: DataFrame, pending: DataFrame) -> DataFrame:
     ids = current.select(F.lit("id").alias("kind"), F.col("id").alias("key"))
     headings = current.where((F.col("node_type") == "heading") & F.col("label").isNotNull()).select(label_key(F.col("label")).alias("key"), "source_file")
     labels = headings.select(F.lit("label").alias("kind"), "key")
+    pending = exact(pending, *PENDING)
     asked = pending.where(blank_to_null(F.col("target_id_hint")).isNull() & blank_to_null(F.col("target_source")).isNotNull())
     asked = asked.select(label_key(F.coalesce("target_label", F.lit(""))).alias("key")).distinct()
     steps = F.split("source_file", "/")
