@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
+from ..operators.positions import with_position
 from ..session import ship
+from ..tables import exact
 
 # Role names and the kind of speaker each stands for.
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "model": "assistant", "ai": "assistant", "tool": "tool", "function": "tool", "system": "system", "developer": "system"}
@@ -43,6 +45,7 @@ def turn_kinds(messages: DataFrame) -> DataFrame:
     Columns session_id, turn, kind (null for an unknown role), says (a user message or a reply is among them), first_ts.
     Rows delivered again change nothing. Rows without a session are left out.
     """
+    messages = exact(messages, "session_id", "turn", "role", "ts", "content")
     kind = speaker(F.col("role"))
     says = F.when(kind == "user", _says(F.col("content"), USER_PARTS)).when(kind == "assistant", _says(F.col("content"), REPLY_PARTS)).otherwise(False)
     rows = messages.where(F.col("session_id").isNotNull()).select("session_id", F.col("turn").cast("long").alias("turn"), kind.alias("kind"), says.alias("says"), "ts")
@@ -213,8 +216,7 @@ def conversations(messages: DataFrame) -> DataFrame:
 
     Position counts from 0 in Kahn's order of (turn, kind), within it by timestamp (nulls last), then message_id. Rows
     delivered again (same session, turn, kind, timestamp and content) are one message under its lowest id; text is the
-    parts' texts, one per line. Sorting is one range-partitioned sort over all sessions, so a session of any length is
-    spread over tasks; positions come from the rows' global numbers and each partition's count.
+    parts' texts, one per line. The sort is range-partitioned over all sessions, so one of any length is spread over tasks.
     """
     spark = messages.sparkSession
     scratch = Scratch(spark, "conversations")
@@ -223,17 +225,9 @@ def conversations(messages: DataFrame) -> DataFrame:
     good = session_verdicts(kinds, segments).where(F.col("reason").isNull()).select("session_id")
     ranks = segments.select("session_id", "segment", F.explode("ranks").alias("r")).select("session_id", "segment", "r.turn", "r.kind", "r.rank")
     text = F.array_join(F.filter(F.transform("content", lambda p: p["text"]), lambda t: t.isNotNull()), "\n")
+    messages = exact(messages, "session_id", "turn", "role", "ts", "content", "message_id")
     rows = messages.select("session_id", F.col("turn").cast("long").alias("turn"), speaker(F.col("role")).alias("kind"), "ts", "message_id", F.to_json("content").alias("_content"), text.alias("text"))
     once = rows.groupBy("session_id", "turn", "kind", "ts", F.xxhash64("_content").alias("_hash"), "_content").agg(F.min("message_id").alias("message_id"), F.first("text").alias("text"))
     placed = once.join(good, "session_id", "left_semi").join(ranks, ["session_id", "turn", "kind"])
-    order = ["session_id", "segment", "rank", F.col("ts").asc_nulls_last(), "message_id"]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    _, numbered = scratch.write(ordered.select("session_id", "message_id", "kind", "turn", "text", F.monotonically_increasing_id().alias("_at")))
-    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = numbered.groupBy(part.alias("_part")).count()
-    # one row per partition of the sort: a few hundred at most
-    offsets = counts.select("_part", (F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("_offset"))
-    at = numbered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_n", F.col("_offset") + inside)
-    first = at.groupBy("session_id").agg(F.min("_n").alias("_first"))
-    return at.join(first, "session_id").select("session_id", (F.col("_n") - F.col("_first")).alias("position"), "message_id", "kind", "turn", "text")
+    order = ["segment", "rank", F.col("ts").asc_nulls_last(), "message_id"]
+    return with_position(placed, ["session_id"], order).select("session_id", "position", "message_id", "kind", "turn", "text")

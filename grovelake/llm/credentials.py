@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..tables import exact
 
 #: Texts longer than a chunk are scanned in overlapping chunks that several tasks share.
 CHUNK_CHARS = 262_144
@@ -292,8 +293,10 @@ def redact_text(text: str | None, spans) -> str | None:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, starts, ends, kinds = [], [], [], []
-        for i, (offset, text) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+        for i, (offset, low, high, text) in enumerate(zip(*[b.column(c).to_pylist() for c in (2, 3, 4, 5)])):
             for s, e, k in scanner().spans(text):
+                if not low <= offset + s < high:
+                    continue  # the chunk before or after sees it with more around it
                 rows.append(i)
                 starts.append(offset + s + 1)
                 ends.append(offset + e)
@@ -310,17 +313,20 @@ def find_credentials(texts: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap_c
 
     ``texts`` has table_name, record_id (strings) and content; rows equal in all three give their spans once, null and
     empty contents none. A content longer than ``chunk_chars`` is scanned in chunks that overlap by ``overlap_chars``
-    and go to different tasks. A span seen in two chunks is one: spans are made absolute and deduplicated, and where
-    a chunk's edge cut a span short the longer one stays.
+    and go to different tasks. Of a span that two chunks see, the one counts whose middle it is nearer to, so that half
+    the overlap is always seen on either side; spans are made absolute and deduplicated. ``overlap_chars`` is even.
     """
     ship(texts.sparkSession)
-    rows = texts.where(F.length("content") > 0).select(F.col("table_name").cast("string"), F.col("record_id").cast("string"), "content")
+    rows = exact(texts, "table_name", "record_id", "content").where(F.length("content") > 0).select(F.col("table_name").cast("string"), F.col("record_id").cast("string"), "content")
     schema = "table_name string, record_id string, start_at long, end_at long, kind string"
-    whole = rows.where(F.length("content") <= chunk_chars).select("table_name", "record_id", F.lit(0).cast("long").alias("offset"), "content")
+    zero, size = F.lit(0).cast("long"), F.length("content").cast("long")
+    whole = rows.where(F.length("content") <= chunk_chars).select("table_name", "record_id", zero.alias("offset"), zero.alias("low"), size.alias("high"), "content")
     step = chunk_chars - overlap_chars
     offsets = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.length("content") - overlap_chars - 1).cast("long"), F.lit(step).cast("long"))
     cut = rows.where(F.length("content") > chunk_chars).select("table_name", "record_id", "content", F.explode(offsets).alias("offset"))
-    cut = cut.select("table_name", "record_id", "offset", F.substring("content", F.col("offset").cast("int") + 1, F.lit(chunk_chars)).alias("content"))
+    low = F.when(F.col("offset") == 0, zero).otherwise(F.col("offset") + overlap_chars // 2)
+    high = F.when(F.col("offset") + chunk_chars >= size, size).otherwise(F.col("offset") + chunk_chars - overlap_chars // 2)
+    cut = cut.select("table_name", "record_id", "offset", low.alias("low"), high.alias("high"), F.substring("content", F.col("offset").cast("int") + 1, F.lit(chunk_chars)).alias("content"))
     spans = whole.mapInArrow(_scan, schema).unionByName(cut.repartition("table_name", "record_id", "offset").mapInArrow(_scan, schema))
     best = spans.groupBy("table_name", "record_id", "start_at").agg(F.max(F.struct("end_at", "kind")).alias("s"))
     return best.select("table_name", "record_id", "start_at", "s.end_at", "s.kind")
@@ -350,7 +356,7 @@ def redact(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """
     ship(texts.sparkSession)
     found = spans.groupBy("table_name", "record_id").agg(F.collect_list(F.struct("start_at", "end_at", "kind")).alias("_spans"))
-    both = texts.select("table_name", "record_id", "content").join(found, ["table_name", "record_id"], "left")
+    both = exact(texts, "table_name", "record_id", "content").join(found, ["table_name", "record_id"], "left")
     n = F.coalesce(F.size("_spans"), F.lit(0))
     clean = F.pandas_udf(_redact, "string")
     return both.select("table_name", "record_id", F.when(F.col("_spans").isNull(), F.col("content")).otherwise(clean("content", "_spans")).alias("content"), n.alias("n_redacted"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..tables import exact
 
 #: Texts of more characters than this are cut into pieces that several tasks encode.
 PIECE_CHARS = 200_000
@@ -129,7 +130,7 @@ def _encoded(documents: DataFrame, id_col: str, text_col: str, vocabulary: str |
     vocabulary = vocabulary or default_vocabulary()
     kind = "long" if count_only else "array<int>"
     key = documents.schema[id_col].dataType.simpleString()
-    rows = documents.select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
+    rows = exact(documents, id_col, text_col).select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
     is_long = F.coalesce(F.length("_text") > piece_chars, F.lit(False))
     short = rows.where(~is_long).mapInArrow(_encode(vocabulary, count_only), f"_key {key}, _ids {kind}")
     # the row number keeps the pieces of repeated rows apart

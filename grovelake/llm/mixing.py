@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
+from ..tables import exact
 from .encoding import token_counts
 
 #: Seed of the epochs' orders.
@@ -82,9 +83,10 @@ def largest_budget(root: Branch) -> float:
 
 
 def _sized(documents: DataFrame, vocabulary: str | None) -> DataFrame:
-    """(doc_id, source, lang, n_tokens) of the documents that have tokens; written once, read by budgets and selection."""
-    sizes = token_counts(documents.select("doc_id", "text"), vocabulary=vocabulary).where(F.col("n_tokens") > 0)
-    keys = documents.select("doc_id", source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"))
+    """(doc_id, source, lang, n_tokens) of the documents that have tokens; repeated rows are one. Written once, read by budgets and selection."""
+    documents = exact(documents, "doc_id", "text", "source", "lang")
+    sizes = token_counts(documents, vocabulary=vocabulary).where(F.col("n_tokens") > 0).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    keys = documents.groupBy("doc_id").agg(F.max(F.struct(source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"))).alias("k")).select("doc_id", "k.*")
     return Scratch(documents.sparkSession, "mixing").write(keys.where(F.col("source").isNotNull()).join(sizes, "doc_id"))[1]
 
 
@@ -96,6 +98,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: dict[str, float] |
     for a mix, the largest is taken at which each source that has documents gets its share in full; a source without
     any leaves its share to the others.
     """
+    targets = exact(targets, "mix_name", "source", "target_share", "max_repeats")
     rows = targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).distinct().collect()
     counted = sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
     sums = {(r["source"], r["lang"]): r["n"] for r in counted}
@@ -167,7 +170,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: dict[str, float]
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(mix_name, source, target_share, n_docs, n_tokens, max_used, actual_share): what each source really contributes; 0 for one that gives nothing."""
-    wanted = targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share").distinct()
+    wanted = exact(targets, "mix_name", "source", "target_share").select("mix_name", source_key(F.col("source")).alias("source"), "target_share").distinct()
     used = mixed.groupBy("mix_name", "source").agg(
         F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("n_tokens"), F.max("repeats").alias("max_used")
     )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..tables import exact
 from .units import text_units
 
 #: Size of the hashed feature space.
@@ -113,10 +114,11 @@ class Model:
 def _weak_labels(documents: DataFrame, areas: list[str], labels: DataFrame | None) -> DataFrame:
     """documents with _weak (subjects of the address path and of hand labels) and _held (hand labels kept for calibration)."""
     folders = F.filter(F.transform(F.split(F.coalesce("source_file", F.lit("")), "[/\\\\]"), lambda x: F.lower(F.trim(x))), lambda x: x.isin(areas))
+    documents = exact(documents, "doc_id", "text", "doc_format", "source_file").where(F.col("doc_id").isNotNull())
     rows = documents.withColumn("_path", F.array_distinct(folders))
     if labels is None:
         return rows.select("doc_id", "text", "doc_format", F.col("_path").alias("_weak"), F.lit(None).cast("array<string>").alias("_held"))
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("_hand"))
+    known = exact(labels, "doc_id", "subject").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set(F.lower(F.trim("subject"))).alias("_hand"))
     rows = rows.join(known, "doc_id", "left")
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD_OUT)) == 0
     hand = F.filter(F.coalesce("_hand", F.array().cast("array<string>")), lambda x: x.isin(areas))
@@ -157,7 +159,7 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame | None = Non
     """
     spark = documents.sparkSession
     ship(spark)
-    subjects = sorted(r[0].strip().lower() for r in areas.select("subject").where(F.col("subject").isNotNull()).distinct().collect())
+    subjects = sorted(r[0].strip().lower() for r in exact(areas, "subject").where(F.col("subject").isNotNull()).distinct().collect())
     sample = training_sample(documents, subjects, labels, docs)
     units = [np.asarray(f, dtype=np.int32) for f in sample["features"]]
     df = np.bincount(np.concatenate([*units, np.zeros(0, np.int32)]), minlength=BUCKETS)
@@ -266,7 +268,8 @@ def subject_shares(documents: DataFrame, model: Model) -> DataFrame:
     spark = documents.sparkSession
     ship(spark)
     key = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.where(F.length(F.trim("text")) > 0).select("doc_id", "text", "doc_format")
+    documents = exact(documents, "doc_id", "text", "doc_format")
+    rows = documents.where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0))
     return rows.mapInPandas(_shares(spark.sparkContext.broadcast(model)), f"doc_id {key}, subject string, n_units long, share double")
 
 
