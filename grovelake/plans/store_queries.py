@@ -112,14 +112,14 @@ def heat_score(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""with {_NOW_NODES} select count(*) as nodes, round(avg(temperature), 6) as avg_temperature,
+    f"""with {_NOW_NODES} select count(*) as nodes, round(cast(sum(cast(temperature as decimal(18, 4))) as double) / count(*), 4) as avg_temperature,
 (select temperature from cur order by temperature limit 1 offset (select count(*) // 2 from cur)) as median_temperature,
 count(*) filter (temperature >= 0.5) as hot, count(*) filter (temperature < 0.1) as cold, count(*) filter (pinned) as pinned, sum(cast(token_count as bigint))::bigint as tokens,
 (select count(distinct id) from snapshots) as snapshots, (select count(distinct id) from pending_relations) as pending from cur"""
 )
 def global_stats(t: Tables) -> DataFrame:
     """Counts and temperatures of the whole store."""
-    return stats.global_stats(t.nodes, t.snapshots, t.pending).withColumn("avg_temperature", F.round("avg_temperature", 6))
+    return stats.global_stats(t.nodes, t.snapshots, t.pending).withColumn("avg_temperature", F.round("avg_temperature", 4))
 
 
 @query(f"with {_NOW_NODES} select node_type, count(*) as n from cur group by all")
