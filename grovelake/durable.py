@@ -35,6 +35,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/grovelake/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        fs, path = hadoop_fs(spark, self.base)
+        fs.deleteOnExit(path)  # when the application ends
 
     def write(self, df: DataFrame) -> tuple[str, DataFrame]:
         """Write ``df`` and return (path, the table read back)."""
@@ -57,3 +59,12 @@ def hadoop_fs(spark: SparkSession, path: str):
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, p = hadoop_fs(spark, path)
     fs.delete(p, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file; it is deleted when the application ends."""
+    fs, p = hadoop_fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(data))
+    out.close()
+    fs.deleteOnExit(p.getParent())

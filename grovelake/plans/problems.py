@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import shared_root
+from ..durable import Scratch
 from ..operators import changefeed, hierarchy, orphans
 from ..tables import current_rows, read
 
@@ -38,7 +36,7 @@ def _state(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that exist after all changes, from the version that the feed published."""
-    version = changefeed.publish(_state(spark, d), f"{shared_root(spark)}/grovelake/mirror-{uuid.uuid4().hex}")
+    version = changefeed.publish(_state(spark, d), Scratch(spark, "mirror").base)
     return changefeed.existing_nodes(spark.read.schema(changefeed.STATE_SCHEMA).parquet(version))
 
 

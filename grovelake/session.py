@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
+import io
 import os
-import shutil
-import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from .durable import shared_root, write_bytes
+
 
 def local_session(cores: int | None = None, app: str = "grovelake", memory: str = "8g") -> SparkSession:
     """A local session with the settings the queries expect (UTC, adaptive execution, few shuffle partitions)."""
@@ -31,20 +32,20 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that functions run in Python workers can import it."""
+    """Give the executors this package, once per application, through the shared folder, so that functions run in Python workers can import it."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
     root, name = os.path.split(here)
-    folder = tempfile.mkdtemp(prefix="grovelake-ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, f"{name}.zip")
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for at, _, files in os.walk(here):
             for f in sorted(files):
                 if f.endswith(".py"):
                     path = os.path.join(at, f)
                     out.write(path, os.path.relpath(path, root))
-    spark.sparkContext.addPyFile(archive)
+    target = f"{shared_root(spark)}/grovelake/ship-{uuid.uuid4().hex}/{name}.zip"
+    write_bytes(spark, target, archive.getvalue())
+    spark.sparkContext.addPyFile(target)
     _shipped.add(app)
