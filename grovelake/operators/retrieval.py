@@ -67,9 +67,12 @@ def prefix_budget(candidates: DataFrame, budget: int, order: list, tokens: str =
     return candidates.withColumn("_sum", F.sum(F.coalesce(F.col(tokens), F.lit(0)).cast("long")).over(w)).where(F.col("_sum") <= budget).drop("_sum")
 
 
-def context(nodes: DataFrame, anchor: str, depth: int = 32) -> DataFrame:
-    """(node_id, relation): ancestors, descendants up to ``depth`` levels and siblings of one node, each node once under the first that applies; without the anchor. Siblings of a root are none."""
-    h = resolve_hierarchy(nodes.select("id", "parent_id"))
+def context(nodes: DataFrame, anchor: str, depth: int = 32, hierarchy: DataFrame | None = None) -> DataFrame:
+    """(node_id, relation): ancestors, descendants up to ``depth`` levels and siblings of one node, each node once under the first that applies; without the anchor. Siblings of a root are none.
+
+    ``hierarchy`` is ``resolve_hierarchy`` of the nodes where it is kept as a table; then one scan of it answers.
+    """
+    h = resolve_hierarchy(nodes.select("id", "parent_id")) if hierarchy is None else hierarchy
     own = h.where(F.col("node_id") == anchor)
     up = own.select(F.explode("path").alias("node_id"), F.lit(0).alias("r"))
     at = F.array_position("path", F.lit(anchor))
@@ -81,7 +84,7 @@ def context(nodes: DataFrame, anchor: str, depth: int = 32) -> DataFrame:
     return all_.groupBy("node_id").agg(names.alias("relation"))
 
 
-def fetch(nodes: DataFrame, anchor: str, budget: int, now: int, depth: int = 32) -> DataFrame:
+def fetch(nodes: DataFrame, anchor: str, budget: int, now: int, depth: int = 32, hierarchy: DataFrame | None = None) -> DataFrame:
     """(node_id, relation, score, token_count, position): the anchor with its context under a token budget, best last.
 
     The anchor is always there and comes last, even over budget; the rest has what it leaves (nothing is kept of the
@@ -91,7 +94,7 @@ def fetch(nodes: DataFrame, anchor: str, budget: int, now: int, depth: int = 32)
     head = own.select("token_count").collect()
     if not head:
         raise KeyError(anchor)
-    rest = nodes.withColumnRenamed("id", "node_id").join(context(nodes, anchor, depth), "node_id")
+    rest = nodes.withColumnRenamed("id", "node_id").join(context(nodes, anchor, depth, hierarchy), "node_id")
     rest = rest.select("node_id", "relation", score(F.lit(1.0), F.col("temperature"), F.col("last_accessed_at"), now).alias("score"), "token_count")
     if budget > 0:
         room = budget - (head[0][0] or 0)

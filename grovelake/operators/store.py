@@ -10,9 +10,10 @@ from .hierarchy import resolve_hierarchy
 
 
 def nodes_now(nodes: DataFrame) -> DataFrame:
-    """Current rows of all nodes with all columns; an empty parent is null."""
+    """Current rows of all nodes with all columns; an empty parent is null. Select the columns that are needed before: the aggregate carries all it is given."""
     rest = [c for c in nodes.columns if c != "id"]
-    return current_rows(nodes, *rest).withColumn("parent_id", blank_to_null(F.col("parent_id")))
+    now = current_rows(nodes, *rest)
+    return now.withColumn("parent_id", blank_to_null(F.col("parent_id"))) if "parent_id" in rest else now
 
 
 def snapshots_once(snapshots: DataFrame) -> DataFrame:

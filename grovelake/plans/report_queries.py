@@ -31,13 +31,13 @@ def query(sql: str | None = None):
 @query(f"with {sq._NOW_NODES} select id as node_id, repeat('  ', greatest(depth - 1, 0)) || '[' || id || '] ' || node_type || ': ' || coalesce(label, '') || ' (' || coalesce(token_count, 0) || ' tok)' as line from cur")
 def compact_lines(t: Tables) -> DataFrame:
     """One line per node."""
-    return render.compact_lines(t.nodes.withColumnRenamed("id", "node_id")).select("node_id", "line")
+    return render.compact_lines(t.pick("node_type", "depth", "label", "token_count").withColumnRenamed("id", "node_id")).select("node_id", "line")
 
 
 @query()
 def tree_lines(t: Tables) -> DataFrame:
     """The trees down to five levels, as text."""
-    return render.tree_lines(t.nodes).select("root_id", "node_id", F.array_join("path", "/").alias("id_path"), "line")
+    return render.tree_lines(t.pick("parent_id", "node_type", "label", "source_file", "token_count")).select("root_id", "node_id", F.array_join("path", "/").alias("id_path"), "line")
 
 
 @query(f"with {sq._SNAPS} select id, message, created_at, id = (select max(id) from snaps) as is_head from snaps order by id desc limit 20")
@@ -68,14 +68,14 @@ select compile_root, count(*) as files, sum(nodes)::bigint as nodes, sum(tokens)
 )
 def files_by_root(t: Tables) -> DataFrame:
     """Files, nodes and tokens per compile root."""
-    return render.files_by_root(store.file_summaries(t.nodes, t.diffs, t.snapshots))
+    return render.files_by_root(store.file_summaries(t.pick("source_file", "token_count"), t.diffs, t.snapshots))
 
 
 @query(f"with {sq._NOW_NODES} select source_file, cast(sum(cast(temperature as decimal(18, 4))) as double) / count(*) as avg_temperature, count(*) filter (temperature >= 0.5) as hot, count(*) filter (temperature < 0.1) as cold, count(*) filter (pinned) as pinned from cur group by all")
 def temperature_by_file(t: Tables) -> DataFrame:
     """Heat per file."""
     x = F.col("temperature")
-    return t.nodes.groupBy("source_file").agg((F.sum(x.cast("decimal(18,4)")).cast("double") / F.count("*")).alias("avg_temperature"), F.count_if(x >= stats.HOT).alias("hot"), F.count_if(x < heat.COLD).alias("cold"), F.count_if(F.col("pinned")).alias("pinned"))
+    return t.pick("source_file", "temperature", "pinned").groupBy("source_file").agg((F.sum(x.cast("decimal(18,4)")).cast("double") / F.count("*")).alias("avg_temperature"), F.count_if(x >= stats.HOT).alias("hot"), F.count_if(x < heat.COLD).alias("cold"), F.count_if(F.col("pinned")).alias("pinned"))
 
 
 @query()
@@ -95,7 +95,7 @@ def graph_json(t: Tables) -> DataFrame:
 def stats_text(t: Tables) -> DataFrame:
     """The store's figures as text."""
     created = t.raw("snapshots").agg(F.max("created_at")).first()[0]
-    return render.stats_text(stats.global_stats(t.nodes, t.snapshots, t.pending), sq.NOW, created)
+    return render.stats_text(stats.global_stats(t.pick("temperature", "pinned", "token_count"), t.snapshots, t.pending), sq.NOW, created)
 
 
 @query(
@@ -104,7 +104,7 @@ r as (select source_file, id as node_id, token_count, percent_rank() over (order
 )
 def mid_size_nodes(t: Tables) -> DataFrame:
     """Middling nodes of the largest file."""
-    return render.mid_size_nodes(t.nodes)
+    return render.mid_size_nodes(t.pick("source_file", "token_count"))
 
 
 @query("select event_id, event_type from events order by event_id desc limit 1000")
@@ -127,4 +127,4 @@ def relative_paths(t: Tables) -> DataFrame:
     """Paths below one root, and the labels' sizes as text."""
     from ..functions import text
 
-    return t.nodes.select(F.col("id").alias("node_id"), text.strip_root(F.col("source_file"), F.lit("/srv/vaults")).alias("below"), text.human_bytes(F.octet_length("label")).alias("size"))
+    return t.pick("source_file", "label").select(F.col("id").alias("node_id"), text.strip_root(F.col("source_file"), F.lit("/srv/vaults")).alias("below"), text.human_bytes(F.octet_length("label")).alias("size"))

@@ -15,6 +15,8 @@ NOW = 1_780_000_000
 #: Tokens of an answer.
 BUDGET = 1_000
 QUERY = "retry budget snapshot"
+SEARCHED = ["label", "content", "node_type", "temperature", "last_accessed_at", "token_count"]
+FETCHED = ["parent_id", "temperature", "last_accessed_at", "token_count"]
 
 
 class Tables:
@@ -30,6 +32,10 @@ class Tables:
     def nodes(self) -> DataFrame:
         return store.nodes_now(self.raw("nodes"))
 
+    def pick(self, *columns: str) -> DataFrame:
+        """Current nodes with id and these columns; nothing else is read or shuffled."""
+        return store.nodes_now(self.raw("nodes").select("id", "updated_at", *columns)).drop(*({"updated_at"} - set(columns)))
+
     @property
     def diffs(self) -> DataFrame:
         return store.changes_once(self.raw("diffs"))
@@ -108,7 +114,7 @@ def normalize_text(t: Tables) -> DataFrame:
 def heat_score(t: Tables) -> DataFrame:
     """Score of each node without a query."""
     s = retrieval.score(F.lit(1.0), F.col("temperature"), F.col("last_accessed_at"), NOW)
-    return t.nodes.select(F.col("id").alias("node_id"), F.round(s, 6).alias("score"))
+    return t.pick("temperature", "last_accessed_at").select(F.col("id").alias("node_id"), F.round(s, 6).alias("score"))
 
 
 @query(
@@ -119,13 +125,13 @@ count(*) filter (temperature >= 0.5) as hot, count(*) filter (temperature < 0.1)
 )
 def global_stats(t: Tables) -> DataFrame:
     """Counts and temperatures of the whole store."""
-    return stats.global_stats(t.nodes, t.snapshots, t.pending).withColumn("avg_temperature", F.round("avg_temperature", 4))
+    return stats.global_stats(t.pick("temperature", "pinned", "token_count"), t.snapshots, t.pending).withColumn("avg_temperature", F.round("avg_temperature", 4))
 
 
 @query(f"with {_NOW_NODES} select node_type, count(*) as n from cur group by all")
 def counts_by_type(t: Tables) -> DataFrame:
     """Nodes by type."""
-    return stats.counts(t.nodes, "node_type")
+    return stats.counts(t.pick("node_type"), "node_type")
 
 
 @query(f"with {_EDGES} select origin, count(*) as n from edges group by all")
@@ -148,19 +154,19 @@ from cur c left join touched using (source_file) left join snaps on snaps.id = s
 )
 def file_summaries(t: Tables) -> DataFrame:
     """Nodes, tokens and compile root of each file."""
-    return store.file_summaries(t.nodes, t.diffs, t.snapshots)
+    return store.file_summaries(t.pick("source_file", "token_count"), t.diffs, t.snapshots)
 
 
 @query(f"with {_NOW_NODES}, {_CHANGES}, {_SNAPS}, last as (select node_id, max(snapshot_id) as sid from ch group by all) select cur.id as node_id, compile_root from cur join last on node_id = cur.id join snaps on snaps.id = sid")
 def latest_state_by_root(t: Tables) -> DataFrame:
     """Each node under the root of the last snapshot that touched it."""
-    return store.nodes_by_compile_root(t.nodes, t.diffs, t.snapshots)
+    return store.nodes_by_compile_root(t.pick(), t.diffs, t.snapshots)
 
 
 @query(f"with {_NOW_NODES}, per as (select pid, count(*) - 1 as n from cur where pid is not null group by all) select id as node_id, coalesce(n, 0) as siblings from cur left join per using (pid)")
 def siblings(t: Tables) -> DataFrame:
     """How many siblings each node has."""
-    return store.sibling_counts(t.nodes)
+    return store.sibling_counts(t.pick("parent_id"))
 
 
 @query(
@@ -170,20 +176,20 @@ union all select d.anchor_id, c.id, d.level + 1 from d join cur c on c.pid = d.n
 )
 def descendants_bounded(t: Tables) -> DataFrame:
     """Nodes at most three levels below each root."""
-    nodes = t.nodes
+    nodes = t.pick("parent_id")
     return store.descendants_bounded(nodes, nodes.where(F.col("parent_id").isNull()).select("id"), 3)
 
 
 @query(_FOREST + ", pos as (select root as root_id, id as node_id, cast(steps as bigint) as depth, row_number() over (partition by root order by string_split(id_path, '/')) - 1 as position from down) from pos")
 def tree_preorder(t: Tables) -> DataFrame:
     """Each tree in pre-order."""
-    return store.tree_preorder(t.nodes)
+    return store.tree_preorder(t.pick("parent_id"))
 
 
 def _busiest(t: Tables) -> str:
-    kids = t.nodes.where(F.col("parent_id").isNotNull()).groupBy("parent_id").count().join(t.nodes.select(F.col("id").alias("parent_id")), "parent_id")
+    kids = t.pick("parent_id").where(F.col("parent_id").isNotNull()).groupBy("parent_id").count().join(t.pick("parent_id").select(F.col("id").alias("parent_id")), "parent_id")
     top = kids.orderBy(F.col("count").desc(), "parent_id").first()
-    return top[0] if top else t.nodes.agg(F.min("id")).first()[0]
+    return top[0] if top else t.pick("parent_id").agg(F.min("id")).first()[0]
 
 
 _CONTEXT = (
@@ -202,7 +208,7 @@ context as (select id, min(r) as r from ctx where id <> (select id from anchor)
 @query(_CONTEXT + "select id as node_id, ['ancestor', 'descendant', 'sibling'][r + 1] as relation from context")
 def fetch_context(t: Tables) -> DataFrame:
     """Ancestors, descendants and siblings of the node with the most children."""
-    return retrieval.context(t.nodes, _busiest(t))
+    return retrieval.context(t.pick("parent_id"), _busiest(t))
 
 
 @query(
@@ -220,7 +226,7 @@ select node_id, relation, round(s, 6) as score, token_count, row_number() over (
 )
 def fetch(t: Tables) -> DataFrame:
     """The same node with as much of its context as the budget holds."""
-    return retrieval.fetch(t.nodes, _busiest(t), BUDGET, NOW).withColumn("score", F.round("score", 6))
+    return retrieval.fetch(t.pick(*FETCHED), _busiest(t), BUDGET, NOW).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -238,7 +244,7 @@ select cast(position as int) as position, node_id, status, n as token_count from
 def fetch_batch(t: Tables) -> DataFrame:
     """The first link targets as one batch, in the links' order."""
     firsts = t.raw("relations").groupBy("target_node_id").agg(F.min("id").alias("at")).orderBy("at").limit(retrieval.MOST_IDS)
-    return retrieval.fetch_batch(t.nodes, [r[0] for r in firsts.collect()], BUDGET * 4)
+    return retrieval.fetch_batch(t.pick("token_count"), [r[0] for r in firsts.collect()], BUDGET * 4)
 
 
 def _search_sql(words: list[str], every: bool) -> str:
@@ -256,13 +262,13 @@ _WORDS = search.query_terms(QUERY)
 @query(f"with {_NOW_NODES}, {_search_sql(_WORDS, False)} select id as node_id, round(relevance, 6) as relevance from hits")
 def search_terms_or(t: Tables) -> DataFrame:
     """Relevance of all nodes with any of the words."""
-    return search.bm25(search.node_tokens(t.nodes), _WORDS).withColumn("relevance", F.round("relevance", 6))
+    return search.bm25(search.node_tokens(t.pick("label", "content", "node_type")), _WORDS).withColumn("relevance", F.round("relevance", 6))
 
 
 @query(f"with {_NOW_NODES}, {_search_sql(_WORDS[:2], True)} select id as node_id, round(relevance, 6) as relevance from hits")
 def search_terms_and(t: Tables) -> DataFrame:
     """Relevance of all nodes with both words."""
-    return search.bm25(search.node_tokens(t.nodes), _WORDS[:2], require_all=True).withColumn("relevance", F.round("relevance", 6))
+    return search.bm25(search.node_tokens(t.pick("label", "content", "node_type")), _WORDS[:2], require_all=True).withColumn("relevance", F.round("relevance", 6))
 
 
 @query(
@@ -277,37 +283,37 @@ select r.id as node_id, round(relevance, 6) as relevance, round(s, 6) as score,
 )
 def search_budgeted(t: Tables) -> DataFrame:
     """The most relevant nodes, rescored, as many as the budget holds."""
-    return search.search(t.nodes, QUERY, BUDGET, NOW).withColumn("relevance", F.round("relevance", 6)).withColumn("score", F.round("score", 6))
+    return search.search(t.pick(*SEARCHED), QUERY, BUDGET, NOW).withColumn("relevance", F.round("relevance", 6)).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_NOW_NODES}, toks as (select id, {_TOKENS} as tokens from cur) select id as node_id from toks where contains(' ' || array_to_string(tokens, ' ') || ' ', ' retry budget ')")
 def search_phrase(t: Tables) -> DataFrame:
     """Nodes with two words next to each other."""
-    return search.node_tokens(t.nodes).where(search.phrase("retry", "budget")).select("node_id")
+    return search.node_tokens(t.pick("label", "content", "node_type")).where(search.phrase("retry", "budget")).select("node_id")
 
 
 @query(f"with {_NOW_NODES}, toks as (select id, {_TOKENS} as tokens from cur) select id as node_id from toks where len(list_filter(tokens, lambda t: starts_with(t, 'snap'))) > 0")
 def search_prefix(t: Tables) -> DataFrame:
     """Nodes with a word that begins so."""
-    return search.node_tokens(t.nodes).where(search.prefix("snap")).select("node_id")
+    return search.node_tokens(t.pick("label", "content", "node_type")).where(search.prefix("snap")).select("node_id")
 
 
 @query()
 def search_near(t: Tables) -> DataFrame:
     """Nodes with two words close to each other."""
-    return search.node_tokens(t.nodes).where(search.near("retry", "snapshot", 10)).select("node_id")
+    return search.node_tokens(t.pick("label", "content", "node_type")).where(search.near("retry", "snapshot", 10)).select("node_id")
 
 
 @query()
 def porter_search(t: Tables) -> DataFrame:
     """The budgeted search over word stems."""
-    return search.search(t.nodes, "rewritten entries depending", BUDGET, NOW, stemmed=True)
+    return search.search(t.pick(*SEARCHED), "rewritten entries depending", BUDGET, NOW, stemmed=True)
 
 
 @query(f"with {_NOW_NODES}, toks as (select id, {_TOKENS} as tokens from cur), words as (select id, len(tokens) as doc_len, unnest(tokens) as term from toks) select term, count(distinct id) as docs, count(*) as n from words group by all")
 def postings_terms(t: Tables) -> DataFrame:
     """Documents and occurrences of each term of the inverted index."""
-    return search.postings(search.node_tokens(t.nodes)).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
+    return search.postings(search.node_tokens(t.pick("label", "content", "node_type"))).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
 
 
 @query(
@@ -321,14 +327,14 @@ select id as node_id, token_count from cur where id in (select id from fill) or
 def budget_greedy(t: Tables) -> DataFrame:
     """The hottest nodes of the whole store that fit a budget, skipping those that do not."""
     s = retrieval.score(F.lit(1.0), F.col("temperature"), F.col("last_accessed_at"), NOW)
-    rows = t.nodes.select(F.col("id").alias("node_id"), s.alias("score"), "token_count")
+    rows = t.pick("temperature", "last_accessed_at", "token_count").select(F.col("id").alias("node_id"), s.alias("score"), "token_count")
     return retrieval.greedy_budget(rows, BUDGET * 4).select("node_id", "token_count")
 
 
 @query(f"with {_NOW_NODES}, s as (select source_file, id as node_id, sum(token_count) over (partition by source_file order by depth, id) as upto from cur) select source_file, node_id from s where upto <= 200")
 def budget_prefix(t: Tables) -> DataFrame:
     """The first nodes of each file, until the budget is full."""
-    rows = t.nodes.select("source_file", F.col("id").alias("node_id"), "depth", "token_count")
+    rows = t.pick("source_file", "depth", "token_count").select("source_file", F.col("id").alias("node_id"), "depth", "token_count")
     return retrieval.prefix_budget(rows, 200, ["depth", "node_id"], group=["source_file"]).select("source_file", "node_id")
 
 
@@ -393,7 +399,7 @@ def node_history(t: Tables) -> DataFrame:
 
 
 def _head(t: Tables) -> DataFrame:
-    kinds = dict(t.nodes.dtypes)
+    kinds = dict(t.raw("nodes").dtypes)
     present = versions.state_at(t.diffs, 1 << 62).select("node_id", "hash", "content")
     return present.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in versions.META])
 
@@ -458,13 +464,13 @@ _FULL = _CONTEXT.split(", anchor as (")[0]
 
 
 def _cold_ids(t: Tables) -> DataFrame:
-    return t.nodes.where((F.col("temperature") < 0.05) & ~F.col("pinned")).select("id")
+    return t.pick("temperature", "pinned").where((F.col("temperature") < 0.05) & ~F.col("pinned")).select("id")
 
 
 @query(_FULL + f", gone as ({_COLD_IDS} union select c.id from cur c join gone g on c.pid = g.id where c.id not in (select id from cyc)) select id from cur where id not in (select id from gone)")
 def forget_cascade(t: Tables) -> DataFrame:
     """The nodes that stay when cold ones go with everything below."""
-    return store.delete_cascade(t.nodes, _cold_ids(t)).select("id")
+    return store.delete_cascade(t.pick("parent_id"), _cold_ids(t)).select("id")
 
 
 @query(
@@ -477,19 +483,19 @@ select c.id, case when e.id is null then c.pid when c.id in (select id from cyc)
 )
 def forget_reparent(t: Tables) -> DataFrame:
     """The nodes that stay, with their parents, when cold ones go and their children move up."""
-    return store.delete_reparent(t.nodes, _cold_ids(t)).select("id", "parent_id")
+    return store.delete_reparent(t.pick("parent_id"), _cold_ids(t)).select("id", "parent_id")
 
 
 @query(f"with {_NOW_NODES} select id from cur where not (temperature < 0.05 and not pinned) or id in (select pid from cur where pid is not null)")
 def forget_strict(t: Tables) -> DataFrame:
     """The nodes that stay when only cold ones without children may go."""
-    return store.delete_strict(t.nodes, _cold_ids(t)).select("id")
+    return store.delete_strict(t.pick("parent_id"), _cold_ids(t)).select("id")
 
 
 @query(f"with {_NOW_NODES}, {_EDGES} select source_node_id, label as target_label, source_file as target_source, weight, origin from edges join cur on cur.id = target_node_id where temperature < 0.05 and not pinned")
 def repend_edges(t: Tables) -> DataFrame:
     """The pending references that the deletion of cold nodes leaves."""
-    return store.repend(t.relations, t.nodes, _cold_ids(t)).drop("target_id_hint")
+    return store.repend(t.relations, t.pick("label", "source_file"), _cold_ids(t)).drop("target_id_hint")
 
 
 @query(
@@ -502,7 +508,7 @@ from p left join by_file f using (id) left join by_label l using (label)"""
 )
 def resolve_refs(t: Tables) -> DataFrame:
     """The node that each pending reference means."""
-    return graph.resolve_refs(t.raw("pending_relations"), t.nodes)
+    return graph.resolve_refs(t.raw("pending_relations"), t.pick("node_type", "label", "source_file", "depth"))
 
 
 def _related_sql(direction: str) -> str:
@@ -513,7 +519,7 @@ def _related_sql(direction: str) -> str:
 
 
 def _related(t: Tables, direction: str) -> DataFrame:
-    pinned = t.nodes.where("pinned").select("id")
+    pinned = t.pick("pinned").where("pinned").select("id")
     return graph.related(t.relations, pinned, 2, 0.5, direction).withColumn("weight", F.round("weight", 6))
 
 
@@ -538,7 +544,7 @@ def related_both(t: Tables) -> DataFrame:
 @query(f"with {_NOW_NODES} select id from cur where id in (select source_node_id from relations union all select target_node_id from relations union all select source_node_id from pending_relations)")
 def graph_nodes(t: Tables) -> DataFrame:
     """Nodes that have links or pending references."""
-    return graph.graph_nodes(t.nodes, t.relations, t.pending).select("id")
+    return graph.graph_nodes(t.pick(), t.relations, t.pending).select("id")
 
 
 @query(f"with {_EDGES}, e as (select source_node_id as node_id, 1 as o, 0 as i from edges union all select target_node_id, 0, 1 from edges) select node_id, sum(o)::bigint as outgoing, sum(i)::bigint as incoming from e group by all")
@@ -557,21 +563,21 @@ select id as node_id, label, coalesce(try_cast(case when has then nullif(trim(re
 )
 def wikilink_extract(t: Tables) -> DataFrame:
     """The links in the nodes' contents with their parameters."""
-    inner = t.nodes.select(F.col("id").alias("node_id"), F.explode(text.wiki_links(F.col("content"))).alias("inner"))
+    inner = t.pick("content").select(F.col("id").alias("node_id"), F.explode(text.wiki_links(F.col("content"))).alias("inner"))
     return inner.select("node_id", text.link_parts(F.col("inner")).alias("p")).select("node_id", "p.*")
 
 
 @query(f"with {_NOW_NODES} select id, round(case when temperature > 0 and not pinned then greatest(0, least(1, temperature * exp(-0.05e0 * 5 / 60))) else temperature end, 6) as temperature from cur")
 def decay_tick(t: Tables) -> DataFrame:
     """Temperatures after one tick."""
-    return heat.decay_tick(t.nodes).select("id", F.round("temperature", 6).alias("temperature"))
+    return heat.decay_tick(t.pick("temperature", "pinned")).select("id", F.round("temperature", 6).alias("temperature"))
 
 
 @query(f"with {_NOW_NODES}, hit as (select distinct target_node_id as id from relations where origin = 'manual') select c.id, round(case when hit.id is not null then least(1, temperature + 0.15e0) else temperature end, 6) as temperature, access_count + (hit.id is not null)::int as access_count from cur c left join hit using (id)")
 def boost_clamped(t: Tables) -> DataFrame:
     """Temperatures after a read of everything linked by hand."""
     hit = t.raw("relations").where(F.col("origin") == "manual").select(F.col("target_node_id").alias("id"))
-    return heat.boost(t.nodes, hit, NOW).select("id", F.round("temperature", 6).alias("temperature"), "access_count")
+    return heat.boost(t.pick("temperature", "access_count", "last_accessed_at"), hit, NOW).select("id", F.round("temperature", 6).alias("temperature"), "access_count")
 
 
 @query(
@@ -590,13 +596,13 @@ def heat_fold(t: Tables) -> DataFrame:
 @query(f"with {_NOW_NODES} select id, temperature from cur where temperature < 0.1 and not pinned order by temperature, id limit 50")
 def cold_nodes(t: Tables) -> DataFrame:
     """The coldest nodes."""
-    return heat.cold_nodes(t.nodes).select("id", "temperature")
+    return heat.cold_nodes(t.pick("temperature", "pinned")).select("id", "temperature")
 
 
 @query(f"with {_NOW_NODES}, m as (select max(last_accessed_at) as now from cur) select id, temperature from cur, m where temperature < 0.05 and not pinned and coalesce(last_accessed_at <= now - 86400, true)")
 def cold_to_notify(t: Tables) -> DataFrame:
     """Cold nodes that nobody was told of within a day of the last read."""
-    nodes = t.nodes
+    nodes = t.pick("temperature", "pinned", "last_accessed_at")
     now = nodes.agg(F.max("last_accessed_at")).first()[0] or 0
     return heat.to_notify(nodes, nodes.select("id", F.col("last_accessed_at").alias("notified_at")), now, ttl=86400)
 
@@ -610,7 +616,7 @@ select "check", case when n > 0 then 'fail' else 'pass' end as status, n from c
 )
 def doctor(t: Tables) -> DataFrame:
     """Integrity of the store."""
-    return stats.doctor(t.nodes, t.diffs, t.snapshots, t.last_snapshot())
+    return stats.doctor(t.pick("parent_id"), t.diffs, t.snapshots, t.last_snapshot())
 
 
 @query(f"with {_CHANGES} select id from ch where snapshot_id not in (select id from snapshots)")
@@ -622,7 +628,7 @@ def dangling(t: Tables) -> DataFrame:
 @query(f"with {_NOW_NODES} select id, case when pid in (select id from cur) then pid end as parent_id from cur")
 def promote_orphans(t: Tables) -> DataFrame:
     """The nodes with orphans made roots."""
-    return stats.promote_orphans(t.nodes).select("id", "parent_id")
+    return stats.promote_orphans(t.pick("parent_id")).select("id", "parent_id")
 
 
 @query(
@@ -664,5 +670,5 @@ select source_file, round(case when naive > 0 then 100e0 * (1e0 - ours / naive)
 )
 def saving_pct(t: Tables) -> DataFrame:
     """Tokens that a file's labels save against its contents, in per cent."""
-    per = t.nodes.groupBy("source_file").agg(F.sum(text.token_estimate(F.col("label")).cast("long")).alias("ours"), F.sum(text.token_estimate(F.col("content")).cast("long")).alias("naive"))
+    per = t.pick("source_file", "label", "content").groupBy("source_file").agg(F.sum(text.token_estimate(F.col("label")).cast("long")).alias("ours"), F.sum(text.token_estimate(F.col("content")).cast("long")).alias("naive"))
     return per.select("source_file", F.round(stats.saving_percent(F.col("ours"), F.col("naive")), 6).alias("saved"))
