@@ -298,7 +298,10 @@ def search_prefix(t: Tables) -> DataFrame:
     return search.node_tokens(t.pick("label", "content", "node_type")).where(search.prefix("snap")).select("node_id")
 
 
-@query()
+@query(
+    f"""with {_NOW_NODES}, toks as (select id, {_TOKENS} as tokens from cur) select id as node_id from toks
+where len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = 'retry' and list_contains(tokens[greatest(1, i - 11):i + 11], 'snapshot'))) > 0"""
+)
 def search_near(t: Tables) -> DataFrame:
     """Nodes with two words close to each other."""
     return search.node_tokens(t.pick("label", "content", "node_type")).where(search.near("retry", "snapshot", 10)).select("node_id")
@@ -420,7 +423,12 @@ def restore_at(t: Tables) -> DataFrame:
     return past.select("node_id", "hash", "content", "source_file", "label", "depth", "restored")
 
 
-@query()
+@query(
+    f"""with {_RESTORE}, h as (select node_id, new_hash as hash from lasts where op <> 'rem'), p as (from past where restored)
+select * from (select coalesce(h.node_id, p.node_id) as node_id,
+  case when h.node_id is null then 'add' when p.node_id is null then 'rem' when p.source_file is not null or h.hash is distinct from p.hash then 'mod' end as op
+  from h full join p on p.node_id = h.node_id) where op is not null"""
+)
 def rollback_deltas(t: Tables) -> DataFrame:
     """The changes that would lead back there."""
     return versions.rollback_deltas(_head(t), t.diffs, t.last_snapshot() // 2)
