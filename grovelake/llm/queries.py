@@ -76,7 +76,7 @@ QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_conversations, p3_fo
 
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 _TURNS = rf"""with rows as (
-  select session_id, turn,
+  select session_id, turn, ts, message_id,
     case when r in ('user', 'human') then 'user' when r in ('assistant', 'model', 'ai') then 'assistant'
       when r in ('tool', 'function') then 'tool' when r in ('system', 'developer') then 'system' end as kind,
     content
@@ -108,4 +108,10 @@ reasons as (
 SQL = {
     "p2_found": _TURNS + "select session_id from reasons where reason is not null",
     "p2_reasons": _TURNS + "select session_id, reason from reasons where reason is not null",
+    "p2_conversations": _TURNS
+    + """, firsts as (select session_id, turn, kind, min(ts) as first_ts from rows group by all),
+once as (select session_id, turn, kind, ts, content, min(message_id) as message_id from rows group by all)
+select session_id, row_number() over (partition by session_id order by turn, (kind in ('assistant', 'tool'))::int, first_ts nulls last, list_position(['system', 'user', 'assistant', 'tool'], kind), ts nulls last, message_id) - 1 as position,
+  message_id, kind, cast(turn as bigint) as turn, array_to_string(list_filter(list_transform(content, lambda p: p.text), lambda t: t is not null), chr(10)) as text
+from once join firsts using (session_id, turn, kind) where session_id not in (select session_id from reasons where reason is not null)""",
 }
