@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,17 +55,25 @@ def features(unit: str) -> np.ndarray:
     return np.fromiter(found, dtype=np.int32, count=len(found))
 
 
+#: Rows that are scored at a time.
+SCORED_ROWS = 20_000
+
+
+def flat(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(all buckets one after the other, number of them per row)."""
+    sizes = np.fromiter((len(u) for u in units), dtype=np.int32, count=len(units))
+    return np.concatenate([*units, np.zeros(0, np.int32)]), sizes
+
+
 class Rows:
-    """Feature rows of units, each of length one under the weights ``idf``."""
-
-    def __init__(self, units: list[np.ndarray], idf: np.ndarray):
-        sizes = np.fromiter((len(u) for u in units), dtype=np.int64, count=len(units))
-        self.index = np.concatenate([*units, np.zeros(0, np.int32)])
-        self.row = np.repeat(np.arange(len(units)), sizes)
-        self.n = len(units)
-        value = idf[self.index]
+    """Feature rows of units, one after the other, each of length one under the weights ``idf``."""
+
+    def __init__(self, index: np.ndarray, sizes: np.ndarray, idf: np.ndarray):
+        self.index, self.n = index, len(sizes)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        value = idf[index]
         norm = np.sqrt(np.bincount(self.row, weights=value * value, minlength=self.n))
-        self.value = value / np.maximum(norm, 1e-9)[self.row]
+        self.value = (value / np.maximum(norm, 1e-9)[self.row]).astype(np.float32)
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=weights[self.index] * self.value, minlength=self.n)
@@ -93,13 +102,16 @@ class Model:
         self.subjects, self.idf, self.weights, self.bias = subjects, idf, weights, bias
         self.thresholds = np.full(len(subjects), THRESHOLD) if thresholds is None else thresholds
 
-    def probabilities(self, units: list[np.ndarray]) -> np.ndarray:
-        """One column per subject."""
-        x = Rows(units, self.idf)
-        z = np.zeros((x.n, len(self.subjects)))
-        for j in range(len(self.subjects)):
-            z[:, j] = x.dot(self.weights[j])
-        return 1 / (1 + np.exp(-(z + self.bias)))
+    def probabilities(self, index: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """One row per unit, one column per subject."""
+        edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        z = np.zeros((len(sizes), len(self.subjects)), np.float32)
+        for at in range(0, len(sizes), SCORED_ROWS):
+            end = min(at + SCORED_ROWS, len(sizes))
+            x = Rows(index[edges[at] : edges[end]], sizes[at:end], self.idf)
+            for j in range(len(self.subjects)):
+                z[at:end, j] = x.dot(self.weights[j])
+        return 1 / (1 + np.exp(-(z + self.bias.astype(np.float32))))
 
     def best(self, p: np.ndarray, least, ratio: float) -> np.ndarray:
         """The subject of each row, -1 where none is probable enough or two are alike."""
@@ -136,7 +148,7 @@ def _sample_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "weak", "held", "heading", "features"])
 
 
-def training_sample(documents: DataFrame, areas: list[str], labels: DataFrame | None, docs: int = TRAIN_DOCS) -> pd.DataFrame:
+def training_sample(documents: DataFrame, areas: list[str], labels: DataFrame | None, docs: int = TRAIN_DOCS) -> pa.Table:
     """Units and headings of at most ``2 * docs`` documents: in hash order those with weak labels or held-out ones, and others."""
     rows = _weak_labels(documents, areas, labels).where(F.length(F.trim("text")) > 0)
     labelled = (F.size("_weak") > 0) | F.col("_held").isNotNull()
@@ -147,7 +159,7 @@ def training_sample(documents: DataFrame, areas: list[str], labels: DataFrame |
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").mapInPandas(
         _sample_units, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, weak array<string>, held array<string>, heading boolean, features array<int>"
     )
-    return sample.toPandas()
+    return sample.toArrow()
 
 
 def train(documents: DataFrame, areas: DataFrame, labels: DataFrame | None = None, docs: int = TRAIN_DOCS) -> Model:
@@ -161,45 +173,48 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame | None = Non
     ship(spark)
     subjects = sorted(r[0].strip().lower() for r in exact(areas, "subject").where(F.col("subject").isNotNull()).distinct().collect())
     sample = training_sample(documents, subjects, labels, docs)
-    units = [np.asarray(f, dtype=np.int32) for f in sample["features"]]
-    df = np.bincount(np.concatenate([*units, np.zeros(0, np.int32)]), minlength=BUCKETS)
-    idf = np.log((len(units) + 1) / (df + 1))
-    weak = np.zeros((len(units), len(subjects)), dtype=bool)
+    lists = sample["features"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int32)
+    index = lists.flatten().to_numpy()
+    n = len(sizes)
+    df = np.bincount(index, minlength=BUCKETS)
+    idf = np.log((n + 1) / (df + 1)).astype(np.float32)
+    weak = np.zeros((n, len(subjects)), dtype=bool)
+    given = sample["weak"].combine_chunks()
     number = {s: j for j, s in enumerate(subjects)}
-    for i, names in enumerate(sample["weak"]):
-        for n in names:
-            weak[i, number[n]] = True
-    rarest = np.array([df[u].min() for u in units], dtype=np.int64)
-    frequent = rarest >= max(8, 0.0005 * len(units))
-    shared = spark.sparkContext.broadcast((units, idf))
+    named = np.array([number[x] for x in given.flatten().to_pylist()], dtype=np.int64)
+    weak[np.repeat(np.arange(n), np.diff(given.offsets.to_numpy())), named] = True
+    starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
+    frequent = (np.minimum.reduceat(df[index], starts) if n else df[:0]) >= max(8, 0.0005 * n)
+    shared = spark.sparkContext.broadcast((index, sizes, idf))
     model = Model(subjects, idf, np.zeros((len(subjects), BUCKETS), np.float32), np.full(len(subjects), -9.0))
-    if not len(units) or not weak.any():
+    if not n or not weak.any():
         return model
     for r in range(ROUNDS + 1):
         if r == 0:
             use, target = weak.any(1), weak
         else:
-            p = model.probabilities(units)
+            p = model.probabilities(index, sizes)
             sure = model.best(p, 0.1, SURE)
             two = np.sort(p, axis=1)
             alike = (two[:, -1] < 1.5 * two[:, -2]) if r == 1 and p.shape[1] > 1 else two[:, -1] < 0.15
             use = (sure >= 0) | (alike & frequent & (sure < 0))
             target = sure[:, None] == np.arange(len(subjects))
         model = _fit_all(spark, shared, subjects, idf, use, target, 80 if r == 0 else 50)
-    model.thresholds = _calibrate(model, sample, units)
+    model.thresholds = _calibrate(model, sample, index, sizes)
+    shared.destroy()
     return model
 
 
 def _fit_all(spark, shared, subjects, idf, use, target, steps) -> Model:
     """One Spark task per subject; each returns its weights."""
-    rows = np.nonzero(use)[0].astype(np.int32)
-    plan = spark.sparkContext.broadcast((rows, target[rows]))
+    plan = spark.sparkContext.broadcast((use, target[use]))
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for j in b["j"]:
-                (units, idf), (rows, target) = shared.value, plan.value
-                w, bias = fit_binary(Rows([units[i] for i in rows], idf), target[:, j].astype(float), steps)
+                (index, sizes, idf), (use, target) = shared.value, plan.value
+                w, bias = fit_binary(Rows(index[np.repeat(use, sizes)], sizes[use], idf), target[:, j].astype(float), steps)
                 yield pd.DataFrame([(j, float(bias), w.astype(np.float32).tobytes())], columns=["j", "bias", "weights"])
 
     tasks = spark.range(len(subjects), numPartitions=len(subjects)).withColumnRenamed("id", "j")
@@ -210,17 +225,20 @@ def _fit_all(spark, shared, subjects, idf, use, target, steps) -> Model:
     return Model(subjects, idf, weights, bias)
 
 
-def _calibrate(model: Model, sample: pd.DataFrame, units: list[np.ndarray]) -> np.ndarray:
+def _calibrate(model: Model, sample: pa.Table, index: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The threshold of each subject with the best F1 over held-out hand-labelled documents; the default where they are few."""
-    held = sample["held"].notna().to_numpy() & ~sample["heading"].to_numpy(dtype=bool)
+    held = sample["held"].is_valid().to_numpy() & ~sample["heading"].to_numpy()
     out = np.full(len(model.subjects), THRESHOLD)
     if not held.any():
         return out
-    rows = np.nonzero(held)[0]
-    p = model.probabilities([units[i] for i in rows])
-    docs, doc = np.unique(sample["doc_id"].to_numpy()[rows], return_inverse=True)
+    p = model.probabilities(index[np.repeat(held, sizes)], sizes[held])
+    kept = sample.select(["doc_id", "held"]).filter(pa.array(held))
+    ids = kept["doc_id"].to_pylist()
+    named = dict(zip(ids, map(set, kept["held"].to_pylist())))
+    docs = list(named)
+    place = {d: i for i, d in enumerate(docs)}
+    doc = np.array([place[i] for i in ids])
     n = np.bincount(doc)
-    named = {d: set(h) for d, h in zip(sample["doc_id"].to_numpy()[rows], sample["held"].to_numpy()[rows])}
     for j, subject in enumerate(model.subjects):
         want = np.array([subject in named[d] for d in docs])
         if want.sum() < LEAST_POSITIVES:
@@ -249,7 +267,7 @@ def _shares(model_ref):
             if not units:
                 continue
             doc = np.array(doc)
-            best = model.best(model.probabilities(units), model.thresholds, CLEAR)
+            best = model.best(model.probabilities(*flat(units)), model.thresholds, CLEAR)
             total = np.bincount(doc, minlength=len(b))
             for j, subject in enumerate(model.subjects):
                 n = np.bincount(doc[best == j], minlength=len(b))
