@@ -50,12 +50,16 @@ def resolve_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "p
         F.col("node_id").alias("low"),
         F.array("node_id").alias("path"),
     )
-    parts, pending, jump = [], _Round(scratch, state), 1
-    parts.append(pending.done)
+    pending, jump = _Round(scratch, state), 1
+    paths = [pending.path]
+
+    def resolved_so_far() -> DataFrame:
+        # one scan of all rounds' folders; unresolved rows of a round are in the next one again
+        return spark.read.schema(state.schema).parquet(*paths).where(F.col("status").isNotNull())
+
     while pending.n_open:
-        table = pending.open.select(*[F.col(c).alias(f"{c}_t") for c in pending.open.columns])
-        for p in parts:
-            table = table.unionByName(p.select(*[F.col(c).alias(f"{c}_t") for c in p.columns]))
+        table = resolved_so_far().unionByName(pending.open)
+        table = table.select(*[F.col(c).alias(f"{c}_t") for c in table.columns])
         # unresolved pointers meet all nodes; a resolved target resolves, an unresolved one doubles the jump
         doubled = pending.open.join(table, F.col("ptr") == F.col("node_id_t")).select(
             "node_id",
@@ -69,11 +73,9 @@ def resolve_hierarchy(nodes: DataFrame, id_col: str = "id", parent_col: str = "p
         if not nxt.n_done:
             scratch.drop(nxt.path)
             break
-        parts.append(nxt.done)
+        paths.append(nxt.path)
         pending = nxt
-    resolved = parts[0]
-    for p in parts[1:]:
-        resolved = resolved.unionByName(p)
+    resolved = resolved_so_far()
     resolved = resolved.select("node_id", "status", F.col("ptr").alias("root_id"), "steps", "path", F.col("ptr").alias("anchor_id"))
     if pending.n_open:
         resolved = resolved.unionByName(_loops(scratch, pending.open, pending.n_open, jump, resolved))
@@ -92,7 +94,7 @@ class _Round:
             df.observe(seen, F.count(F.col("status")).alias("done"), F.count(F.when(F.col("status").isNull(), 1)).alias("open"))
         )
         self.n_done, self.n_open = seen.get["done"] or 0, seen.get["open"] or 0
-        self.done, self.open = table.where(F.col("status").isNotNull()), table.where(F.col("status").isNull())
+        self.open = table.where(F.col("status").isNull())
 
 
 def _loops(scratch: Scratch, unresolved: DataFrame, n: int, jump: int, like: DataFrame) -> DataFrame:
