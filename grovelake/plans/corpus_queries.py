@@ -58,15 +58,14 @@ def scan_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_heat(spark: SparkSession, d: str) -> DataFrame:
     """Heat per user after the event log ran through the stream."""
-    updates = reads.drain(reads.heat_stream(reads.event_stream(spark, f"{d}/events.parquet")), "update", "stream-heat")
-    return reads.latest(updates, "node_id").select("node_id", "reads", F.round("temperature", 6).alias("temperature"))
+    heat = reads.heat_drained(reads.event_stream(spark, f"{d}/events.parquet"))
+    return heat.select("node_id", "reads", F.round("temperature", 6).alias("temperature"))
 
 
 def stream_activity(spark: SparkSession, d: str) -> DataFrame:
     """Events per day and type after the event log ran through the stream."""
-    updates = reads.drain(reads.activity(reads.event_stream(spark, f"{d}/events.parquet")), "update", "stream-activity")
-    rows = updates.withColumn("k", F.struct("start", "event_type")).groupBy("k").agg(F.max(F.struct("batch", "n", "total")).alias("r"))
-    return rows.select(F.date_format("k.start", "yyyy-MM-dd").alias("day"), "k.event_type", "r.n", F.round("r.total", 4).alias("total"))
+    rows = reads.activity_drained(reads.event_stream(spark, f"{d}/events.parquet"))
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (parse_documents, parse_errors, html_nodes, parse_markdown, redacted_nodes, node_labels, content_hashes, scan_paths, stream_heat, stream_activity)}

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..durable import Scratch, hadoop_fs
-from ..operators.heat import BOOST, RATE, START, heat_state
+from ..operators.heat import BOOST, RATE, START, heat_fold, heat_state
 from ..session import ship
 
 
@@ -39,7 +39,8 @@ def heat_stream(reads: DataFrame, node: str = "user_id", ts: str = "ts") -> Data
     """(node_id, reads, temperature): each node's heat after every batch that read it.
 
     State per node is a temperature, a time and a count. Reads of one batch are taken in order of time; a read older
-    than the last one does not cool the node again. Null nodes and times are left out.
+    than the last one does not cool the node again. Null nodes and times are left out. For a table that is drained, in
+    files of any order, ``heat_drained`` takes all reads in order of time.
     """
     ship(reads.sparkSession)
     kind = reads.schema[node].dataType.simpleString()
@@ -50,7 +51,10 @@ def heat_stream(reads: DataFrame, node: str = "user_id", ts: str = "ts") -> Data
 
 
 def activity(reads: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
-    """(start, event_type, n, total): reads per window and type; rows later than the watermark are dropped."""
+    """(start, event_type, n, total): reads per window and type, for a stream without end: rows later than the watermark are dropped.
+
+    For a table that is drained, in files of any order, ``activity_drained`` counts every row.
+    """
     w = reads.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type")
     return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
@@ -61,24 +65,46 @@ def quiet_sessions(reads: DataFrame, node: str = "user_id", gap: str = "12 hours
     return w.agg(F.count("*").alias("n")).select("node_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def drain(stream: DataFrame, mode: str, name: str, each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over all that is there and return what it wrote, with the number of its batch.
 
     Batches are written to the shared folder under their number, overwriting a batch that is run again; so is the
-    stream's checkpoint.
+    stream's checkpoint. With ``each``, what it makes of a batch is written in place of the batch.
     """
     spark = stream.sparkSession
     scratch = Scratch(spark, name)
+    each = each or (lambda batch: batch)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{scratch.base}/out/batch_no={number}")
+        each(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{scratch.base}/out/batch_no={number}")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{scratch.base}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
+    schema = T.StructType([*each(stream).schema.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{scratch.base}/out/*")
 
 
+def heat_drained(reads: DataFrame, node: str = "user_id", ts: str = "ts") -> DataFrame:
+    """(node_id, reads, temperature): each node's heat after all reads of a stream that is drained, whatever their order.
+
+    Reads of one time segment may come in several batches and between each other, so batches only keep node and time;
+    the whole log is folded in order of time by ``heat_fold``. Null nodes and times are left out.
+    """
+    kept = drain(reads.select(F.col(node).alias("node_id"), F.col(ts).alias("at")), "append", "heat-drained")
+    return heat_fold(kept, "node_id", "at")
+
+
+def activity_drained(reads: DataFrame, unit: str = "day") -> DataFrame:
+    """(start, event_type, n, total): reads per calendar unit and type after a stream that is drained, whatever their order.
+
+    Each batch gives partial sums, which are added up at the end: no state, no watermark, so no row is too late. Null
+    times and types are groups of their own.
+    """
+    start = F.date_trunc(unit, F.col("ts")).alias("start")
+    parts = drain(reads, "append", "activity-drained", lambda b: b.groupBy(start, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+    return parts.groupBy("start", "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def latest(updates: DataFrame, key: str) -> DataFrame:
     """The last update of each key."""
     rest = [c for c in updates.columns if c not in (key, "batch")]

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 
 from grovelake.durable import shared_root
 from grovelake.operators.heat import START, heat_state
+from grovelake.plans import corpus_queries
 from grovelake.sources import parsing as p
 from grovelake.sources.scan import changed_paths, deleted_paths, last_per_session, scan_files
 from grovelake.sources.versioned import VersionedStore, compile_into
@@ -106,3 +108,22 @@ def test_stream_equals_batch(spark, tmp_path: Path):
         assert got[u][0] == len(times)
         if got[u][0]:
             assert got[u][1] == pytest.approx(heat_state(START, None, times)[0], abs=0.2)
+
+
+def test_drained_streams_count_shuffled_files_whole(spark, tmp_path: Path):
+    rng = random.Random(11)
+    rows = sorted((1_700_000_000 + rng.randrange(60 * 86_400), rng.randrange(3), rng.choice(["view", "edit"])) for _ in range(400))
+    order = rng.sample(range(20), 20)
+    for name, i in enumerate(order):
+        part = spark.createDataFrame([(u, k, 1.0, s) for s, u, k in rows[i * 20 : i * 20 + 20]], "user_id long, event_type string, value double, s long")
+        part.selectExpr("user_id", "event_type", "value", "timestamp_seconds(s) as ts").coalesce(1).write.parquet(f"{tmp_path}/parts/{name}")
+        (file,) = (tmp_path / f"parts/{name}").glob("*.parquet")
+        (tmp_path / "events.parquet").mkdir(exist_ok=True)
+        file.rename(tmp_path / f"events.parquet/part-{name:02d}.parquet")
+    days = Counter((s // 86_400, k) for s, _, k in rows)
+    got = corpus_queries.stream_activity(spark, str(tmp_path)).selectExpr("unix_date(cast(day as date)) as day", "event_type", "n", "total").collect()
+    assert {(r.day, r.event_type): (r.n, r.total) for r in got} == {k: (n, float(n)) for k, n in days.items()}
+    heat = {r.node_id: (r.reads, r.temperature) for r in corpus_queries.stream_heat(spark, str(tmp_path)).collect()}
+    for u in range(3):
+        times = [s for s, x, _ in rows if x == u]
+        assert heat[u] == (len(times), pytest.approx(heat_state(START, None, times)[0], abs=1e-5))
