@@ -18,9 +18,10 @@ from .units import text_units
 
 #: Size of the hashed feature space.
 BUCKETS = 1 << 17
-#: Bounds of the training sample: documents with weak labels, as many others, and sentences of one document.
+#: Bound of the training sample, whose texts are taken whole: documents with weak labels, and as many others.
 TRAIN_DOCS = 4_000
-TRAIN_UNITS_PER_DOC = 200
+#: A sampled document with more sentences and headings than this counts in the fits as much as one with so many: all its rows, each with a smaller weight.
+FULL_WEIGHT_UNITS = 200
 #: One labelled document in so many is kept from training for the calibration of thresholds.
 HELD_OUT = 4
 #: A subject is reported from this share of the document's sentences and items.
@@ -82,11 +83,11 @@ class Rows:
         return np.bincount(self.index, weights=err[self.row] * self.value, minlength=BUCKETS)
 
 
-def fit_binary(x: Rows, y: np.ndarray, steps: int, l2: float = L2, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """Logistic regression, one class against the rest, by full-batch steps with per-feature rates."""
+def fit_binary(x: Rows, y: np.ndarray, steps: int, l2: float = L2, rate: float = 0.5, weight: np.ndarray | float = 1.0) -> tuple[np.ndarray, float]:
+    """Logistic regression, one class against the rest, by full-batch steps with per-feature rates; rows count by ``weight``."""
     w, b, g2, gb2 = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-6), 1e-6
     for _ in range(steps):
-        err = 1 / (1 + np.exp(-(x.dot(w) + b))) - y
+        err = weight * (1 / (1 + np.exp(-(x.dot(w) + b))) - y)
         g, gb = x.back(err) + l2 * w, err.sum()
         g2 += g * g
         gb2 += gb * gb
@@ -143,9 +144,34 @@ def _sample_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for i, text, kind, weak, held in zip(b["doc_id"], b["text"], b["doc_format"], b["_weak"], b["_held"]):
             units, heads = text_units(text, kind)
-            rows = [(features(u), False) for u in units[:TRAIN_UNITS_PER_DOC]] + [(features(h), True) for h in heads[:TRAIN_UNITS_PER_DOC]]
-            out += [(i, list(weak), None if held is None else list(held), head, f) for f, head in rows if len(f)]
-        yield pd.DataFrame(out, columns=["doc_id", "weak", "held", "heading", "features"])
+            rows = [(features(u), False) for u in units] + [(features(h), True) for h in heads]
+            weight = min(1.0, FULL_WEIGHT_UNITS / max(1, len(rows)))
+            out += [(i, list(weak), None if held is None else list(held), head, f, weight) for f, head in rows if len(f)]
+        yield pd.DataFrame(out, columns=["doc_id", "weak", "held", "heading", "features", "weight"])
+
+
+def _count_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    df, n = np.zeros(BUCKETS, np.int64), 0
+    for b in batches:
+        for text, kind in zip(b["text"], b["doc_format"]):
+            for part in text_units(text, kind):
+                for unit in part:
+                    found = features(unit)
+                    df[found] += 1  # each bucket is there once
+                    n += len(found) > 0
+    at = np.nonzero(df)[0]
+    yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df[at], n)})
+
+
+def corpus_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
+    """(units and headings that have each bucket, number of units and headings), over the whole texts of all documents."""
+    rows = exact(documents, "doc_id", "text", "doc_format").where(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0))
+    # one row per bucket, and -1 for the number of rows
+    found = rows.select("text", "doc_format").mapInPandas(_count_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+    df = np.zeros(BUCKETS, np.int64)
+    df[bucket[bucket >= 0]] = n[bucket >= 0]
+    return df, int(n[bucket < 0].sum())
 
 
 def training_sample(documents: DataFrame, areas: list[str], labels: DataFrame | None, docs: int = TRAIN_DOCS) -> pa.Table:
@@ -157,7 +183,7 @@ def training_sample(documents: DataFrame, areas: list[str], labels: DataFrame |
     # the picked ids are at most 2 * docs
     chosen = pick(keys.where(F.col("_labelled"))).unionByName(pick(keys.where(~F.col("_labelled"))))
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").mapInPandas(
-        _sample_units, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, weak array<string>, held array<string>, heading boolean, features array<int>"
+        _sample_units, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, weak array<string>, held array<string>, heading boolean, features array<int>, weight double"
     )
     return sample.toArrow()
 
@@ -165,6 +191,8 @@ def training_sample(documents: DataFrame, areas: list[str], labels: DataFrame |
 def train(documents: DataFrame, areas: DataFrame, labels: DataFrame | None = None, docs: int = TRAIN_DOCS) -> Model:
     """One linear classifier per subject, each fitted by a Spark task of its own on the bounded sample, and calibrated thresholds.
 
+    Only the rows of the fits are bounded: the inverse document frequencies and the frequent words are those of all
+    documents. A bucket that is nowhere in the sample has no weight, so it has no value either.
     The first round learns from weak labels: every unit and heading of a document has the subjects of its address path
     and hand labels. In the next rounds a unit has the one subject of which the classifiers together are sure; units that
     look alike to all of them and consist of frequent words are taken as "none"; the rest is left out.
@@ -177,16 +205,17 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame | None = Non
     sizes = np.diff(lists.offsets.to_numpy()).astype(np.int32)
     index = lists.flatten().to_numpy()
     n = len(sizes)
-    df = np.bincount(index, minlength=BUCKETS)
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32)
+    df, n_corpus = corpus_counts(documents)
+    known = np.bincount(index, minlength=BUCKETS) > 0
+    idf = np.where(known, np.log((n_corpus + 1) / (df + 1)), 0).astype(np.float32)
     weak = np.zeros((n, len(subjects)), dtype=bool)
     given = sample["weak"].combine_chunks()
     number = {s: j for j, s in enumerate(subjects)}
     named = np.array([number[x] for x in given.flatten().to_pylist()], dtype=np.int64)
     weak[np.repeat(np.arange(n), np.diff(given.offsets.to_numpy())), named] = True
     starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[:-1]
-    frequent = (np.minimum.reduceat(df[index], starts) if n else df[:0]) >= max(8, 0.0005 * n)
-    shared = spark.sparkContext.broadcast((index, sizes, idf))
+    frequent = (np.minimum.reduceat(df[index], starts) if n else df[:0]) >= max(8, 0.0005 * n_corpus)
+    shared = spark.sparkContext.broadcast((index, sizes, idf, sample["weight"].to_numpy()))
     model = Model(subjects, idf, np.zeros((len(subjects), BUCKETS), np.float32), np.full(len(subjects), -9.0))
     if not n or not weak.any():
         return model
@@ -213,8 +242,8 @@ def _fit_all(spark, shared, subjects, idf, use, target, steps) -> Model:
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for j in b["j"]:
-                (index, sizes, idf), (use, target) = shared.value, plan.value
-                w, bias = fit_binary(Rows(index[np.repeat(use, sizes)], sizes[use], idf), target[:, j].astype(float), steps)
+                (index, sizes, idf, weight), (use, target) = shared.value, plan.value
+                w, bias = fit_binary(Rows(index[np.repeat(use, sizes)], sizes[use], idf), target[:, j].astype(float), steps, weight=weight[use])
                 yield pd.DataFrame([(j, float(bias), w.astype(np.float32).tobytes())], columns=["j", "bias", "weights"])
 
     tasks = spark.range(len(subjects), numPartitions=len(subjects)).withColumnRenamed("id", "j")

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from grovelake.llm import subjects as s
 from grovelake.llm.units import text_units
@@ -55,3 +57,23 @@ def test_nulls_empty_and_clashing_columns(spark):
     assert set(s.document_subjects(docs, areas, labels).columns) == {"doc_id", "subject"}
     assert s.document_subjects(docs, areas, labels).where("doc_id in (2, 3, 4)").count() == 0
     assert s.document_subjects(spark.createDataFrame([], DOCS), areas, labels).count() == 0
+
+
+def test_document_frequencies_are_those_of_the_corpus(spark):
+    rows, _, labels = corpus(300, 5)
+    rows.append((300, "\n".join([*["Nothing of note here."] * 250, "The oboe ended late."]), "txt", "/v/music/300.txt"))
+    areas = spark.createDataFrame([("music", "d"), ("law", "d")], "subject string, description string")
+    model = s.train(spark.createDataFrame(rows, DOCS), areas, spark.createDataFrame(labels, "doc_id long, subject string"), docs=10)
+    units = [set(s.features(u).tolist()) for _, text, kind, _ in rows for part in text_units(text, kind) for u in part]
+    df = Counter(b for u in units for b in u)
+    known = [b for b in df if model.idf[b] != 0]
+    # of all documents, whole texts, though at most 20 of them were sampled; what the sample lacks has no value
+    assert 0 < len(known) < len(df) and not any(model.idf[b] for b in range(s.BUCKETS) if b not in df)
+    for b in known:
+        assert math.isclose(model.idf[b], math.log((len(units) + 1) / (df[b] + 1)), rel_tol=1e-5)
+
+
+def test_sampled_texts_are_whole(spark):
+    text = "\n".join([*["Nothing of note here."] * 250, "The oboe ended late."])
+    sample = s.training_sample(spark.createDataFrame([(1, text, "txt", "/v/music/1.txt")], DOCS), ["music"], None)
+    assert sample.num_rows == len(text_units(text, "txt")[0]) > 250
