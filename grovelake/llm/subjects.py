@@ -30,8 +30,8 @@ LEAST_SHARE = 0.25
 ROUNDS, L2 = 3, 0.5
 #: The best subject of a sentence must be so many times as probable as the second: to train on it, to count it.
 SURE, CLEAR = 2.0, 1.3
-#: Threshold of a subject without enough held-out documents, and the grid that calibration chooses from.
-THRESHOLD, GRID, LEAST_POSITIVES = 0.25, (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5), 30
+#: Threshold without any held-out label, the grid that calibration chooses from, and the held-out documents that all subjects together count as in the choice for one.
+THRESHOLD, GRID, POOLED_POSITIVES = 0.25, (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5), 30
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 
 
@@ -142,12 +142,12 @@ def _weak_labels(documents: DataFrame, areas: list[str], labels: DataFrame | Non
 def _sample_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
-        for i, text, kind, weak, held in zip(b["doc_id"], b["text"], b["doc_format"], b["_weak"], b["_held"]):
+        for i, text, kind, weak in zip(b["doc_id"], b["text"], b["doc_format"], b["_weak"]):
             units, heads = text_units(text, kind)
-            rows = [(features(u), False) for u in units] + [(features(h), True) for h in heads]
+            rows = [features(u) for u in [*units, *heads]]
             weight = min(1.0, FULL_WEIGHT_UNITS / max(1, len(rows)))
-            out += [(i, list(weak), None if held is None else list(held), head, f, weight) for f, head in rows if len(f)]
-        yield pd.DataFrame(out, columns=["doc_id", "weak", "held", "heading", "features", "weight"])
+            out += [(i, list(weak), f, weight) for f in rows if len(f)]
+        yield pd.DataFrame(out, columns=["doc_id", "weak", "features", "weight"])
 
 
 def _count_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,15 +175,15 @@ def corpus_counts(documents: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def training_sample(documents: DataFrame, areas: list[str], labels: DataFrame | None, docs: int = TRAIN_DOCS) -> pa.Table:
-    """Units and headings of at most ``2 * docs`` documents: in hash order those with weak labels or held-out ones, and others."""
-    rows = _weak_labels(documents, areas, labels).where(F.length(F.trim("text")) > 0)
-    labelled = (F.size("_weak") > 0) | F.col("_held").isNotNull()
+    """Units and headings of at most ``2 * docs`` documents: in hash order those with weak labels, and others; none that is held out."""
+    rows = _weak_labels(documents, areas, labels).where((F.length(F.trim("text")) > 0) & F.col("_held").isNull())
+    labelled = F.size("_weak") > 0
     keys = rows.select("doc_id", labelled.alias("_labelled"), F.xxhash64("doc_id", F.lit("sample")).alias("_order"))
     pick = lambda k: k.orderBy("_order", "doc_id").limit(docs).select("doc_id")
     # the picked ids are at most 2 * docs
     chosen = pick(keys.where(F.col("_labelled"))).unionByName(pick(keys.where(~F.col("_labelled"))))
     sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").mapInPandas(
-        _sample_units, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, weak array<string>, held array<string>, heading boolean, features array<int>, weight double"
+        _sample_units, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, weak array<string>, features array<int>, weight double"
     )
     return sample.toArrow()
 
@@ -230,7 +230,7 @@ def train(documents: DataFrame, areas: DataFrame, labels: DataFrame | None = Non
             use = (sure >= 0) | (alike & frequent & (sure < 0))
             target = sure[:, None] == np.arange(len(subjects))
         model = _fit_all(spark, shared, subjects, idf, use, target, 80 if r == 0 else 50)
-    model.thresholds = _calibrate(model, sample, index, sizes)
+    model.thresholds = choose_thresholds(held_out_counts(documents, labels, model), len(subjects))
     shared.destroy()
     return model
 
@@ -254,33 +254,55 @@ def _fit_all(spark, shared, subjects, idf, use, target, steps) -> Model:
     return Model(subjects, idf, weights, bias)
 
 
-def _calibrate(model: Model, sample: pa.Table, index: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The threshold of each subject with the best F1 over held-out hand-labelled documents; the default where they are few."""
-    held = sample["held"].is_valid().to_numpy() & ~sample["heading"].to_numpy()
-    out = np.full(len(model.subjects), THRESHOLD)
-    if not held.any():
-        return out
-    p = model.probabilities(index[np.repeat(held, sizes)], sizes[held])
-    kept = sample.select(["doc_id", "held"]).filter(pa.array(held))
-    ids = kept["doc_id"].to_pylist()
-    named = dict(zip(ids, map(set, kept["held"].to_pylist())))
-    docs = list(named)
-    place = {d: i for i, d in enumerate(docs)}
-    doc = np.array([place[i] for i in ids])
-    n = np.bincount(doc)
-    for j, subject in enumerate(model.subjects):
-        want = np.array([subject in named[d] for d in docs])
-        if want.sum() < LEAST_POSITIVES:
-            continue
-        scores = []
-        for t in GRID:
-            least = np.full(len(model.subjects), THRESHOLD)
-            least[j] = t
-            got = np.bincount(doc, weights=model.best(p, least, CLEAR) == j, minlength=len(docs)) / n >= LEAST_SHARE
-            scores.append(2 * (got & want).sum() / max(1, got.sum() + want.sum()))
+def _held_out(model_ref):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = model_ref.value
+        k = len(model.subjects)
+        counts = np.zeros((k, len(GRID), 3), np.int64)
+        for b in batches:
+            for text, kind, held in zip(b["text"], b["doc_format"], b["_held"]):
+                want = np.isin(model.subjects, list(held))
+                units = [features(u) for u in text_units(text, kind)[0]]
+                p = model.probabilities(*flat(units)) if units else None
+                for j in range(k):
+                    for i, t in enumerate(GRID):
+                        least = np.full(k, THRESHOLD)
+                        least[j] = t
+                        got = p is not None and (model.best(p, least, CLEAR) == j).mean() >= LEAST_SHARE
+                        counts[j, i] += (got and want[j], got, want[j])
+        j, i = (x.ravel() for x in np.indices(counts.shape[:2]))
+        yield pd.DataFrame({"j": j, "i": i, **{c: counts[:, :, at].ravel() for at, c in enumerate(("hits", "got", "want"))}})
+
+    return run
+
+
+def held_out_counts(documents: DataFrame, labels: DataFrame | None, model: Model) -> pd.DataFrame:
+    """(j, i, hits, got, want) per subject and threshold of ``GRID``, over the whole texts of all held-out documents."""
+    rows = _weak_labels(documents, model.subjects, labels).where(F.col("_held").isNotNull() & (F.length(F.trim("text")) > 0))
+    counted = rows.select("text", "doc_format", "_held").mapInPandas(
+        _held_out(documents.sparkSession.sparkContext.broadcast(model)), "j int, i int, hits long, got long, want long"
+    )
+    # one row per subject and threshold
+    return counted.groupBy("j", "i").agg(*[F.sum(c).alias(c) for c in ("hits", "got", "want")]).toPandas()
+
+
+def choose_thresholds(counts: pd.DataFrame, subjects: int) -> np.ndarray:
+    """The threshold of each subject with the best F1, in which all subjects together count as ``POOLED_POSITIVES`` documents more.
+
+    One rule for any number of held-out documents: a subject with few has nearly the pooled threshold, one with many its own.
+    """
+    own = np.zeros((subjects, len(GRID), 3))
+    own[counts["j"], counts["i"]] = counts[["hits", "got", "want"]]
+    pooled = own.sum(0)
+    if not pooled[:, 2].any():
+        return np.full(subjects, THRESHOLD)
+    hits, got, want = np.moveaxis(own + POOLED_POSITIVES * pooled / pooled[:, 2:], 2, 0)
+    f1 = 2 * hits / (got + want)
+    out = np.full(subjects, THRESHOLD)
+    for j in range(subjects):
         # the middle of the thresholds that are equally good
-        good = [t for t, f in zip(GRID, scores) if f >= max(scores) - 1e-9]
-        out[j] = good[len(good) // 2]
+        good = np.nonzero(f1[j] >= f1[j].max() - 1e-9)[0]
+        out[j] = GRID[good[len(good) // 2]]
     return out
 
 

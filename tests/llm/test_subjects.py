@@ -77,3 +77,31 @@ def test_sampled_texts_are_whole(spark):
     text = "\n".join([*["Nothing of note here."] * 250, "The oboe ended late."])
     sample = s.training_sample(spark.createDataFrame([(1, text, "txt", "/v/music/1.txt")], DOCS), ["music"], None)
     assert sample.num_rows == len(text_units(text, "txt")[0]) > 250
+
+
+def test_thresholds_use_all_held_out_documents_whole(spark):
+    filler, music = ["Nothing of note here."] * 250, ["The oboe ended late."] * 300
+    rows = [(i, "\n".join([*filler, *music]), "txt", f"/v/notes/{i}.txt") for i in range(80)]
+    areas = spark.createDataFrame([("music", "d"), ("law", "d")], "subject string, description string")
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, "music") for i in range(80)], "doc_id long, subject string")
+    weights = s.np.zeros((2, s.BUCKETS), s.np.float32)
+    weights[1, s.features("oboe")] = 9.0
+    model = s.Model(["law", "music"], s.np.ones(s.BUCKETS, s.np.float32), weights, s.np.full(2, -4.0))
+    counts = s.held_out_counts(docs, labels, model).query("j == 1")
+    n = docs.selectExpr("pmod(xxhash64(doc_id, 'held'), 4) = 0 as h").where("h").count()
+    assert n > 5 and set(counts["want"]) == {n} and counts.query("i == 0")["hits"].item() == n
+    # held-out documents are no rows of the fits, and few of them choose a threshold as many do
+    assert s.training_sample(docs, ["law", "music"], labels)["doc_id"].to_pandas().nunique() == 80 - n
+    assert s.train(docs, areas, labels, docs=3).thresholds.tolist() != [s.THRESHOLD] * 2
+
+
+def test_one_rule_for_thresholds_at_every_size():
+    def choose(n, other):
+        """``n`` held-out documents of subject 0, for which 0.5 is better than ``other``, and 1,000 of subject 1, for which 0.2 is best."""
+        at = ((0, n, 0.5, other), (1, 1000, 0.2, 0.8))
+        rows = [(j, i, 0.9 * m if t == best else rest * m, m, m) for j, m, best, rest in at for i, t in enumerate(s.GRID)]
+        return s.choose_thresholds(s.pd.DataFrame(rows, columns=["j", "i", "hits", "got", "want"]), 2).tolist()
+
+    assert choose(1, 0.1) == choose(10, 0.8) == [0.2, 0.2]
+    assert choose(10, 0.1) == choose(300, 0.8) == [0.5, 0.2]  # ten that differ much say as much as many that differ little
+    assert s.choose_thresholds(s.pd.DataFrame({c: [] for c in ("j", "i", "hits", "got", "want")}).astype(int), 2).tolist() == [s.THRESHOLD] * 2
