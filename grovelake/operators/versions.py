@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import xxh64
+from ..session import ship
 
 META = ["parent_id", "source_file", "node_type", "depth", "label", "format", "token_count"]
 #: Entries of a node's history, by default.
@@ -106,17 +110,46 @@ def change_counts(deltas: DataFrame) -> DataFrame:
     return deltas.agg(n("add").alias("added"), n("mod").alias("modified"), n("rem").alias("removed"), F.count("*").alias("total"))
 
 
-def _hash_sorted(parts: pd.Series) -> pd.Series:
-    return parts.map(lambda p: f"{xxh64(p.encode()):016x}")
+def _running_hashes(names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by (names..., _part): one digest per group; only that of the group at hand is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        key, digest, done, types = None, None, [], None
+        for b in batches:
+            types = types or [b.schema.field(n).type for n in names]
+            keys = zip(*(b.column(n).to_pylist() for n in names))
+            for k, rows in groupby(zip(keys, b.column("_part").to_pylist()), key=lambda r: r[0]):
+                if digest is None or k != key:
+                    if digest is not None:
+                        done.append((*key, digest.hexdigest()))
+                    key, digest = k, xxhash.xxh64()
+                digest.update("".join(p for _, p in rows if p is not None).encode())
+            if len(done) > 10_000:
+                yield _hash_rows(done, names, types)
+                done = []
+        if digest is not None:
+            yield _hash_rows([*done, (*key, digest.hexdigest())], names, types)
+
+    return run
+
+
+def _hash_rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    kinds = [*types, pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=[*names, "cursor_hash"])
 
 
 def cursor_hash(rows: DataFrame, group: list[str], part) -> DataFrame:
-    """(group..., cursor_hash): xxh64 over the sorted ``part`` texts of each group, joined without separator.
+    """(group..., cursor_hash): xxh64 over the sorted ``part`` texts of each group, joined without separator; null texts are left out.
 
-    Groups are snapshots or compiles: what one transaction wrote, held in one row.
+    Groups are snapshots or compiles: what one transaction wrote. A group of any size is sorted in one task (which
+    spills to disk) and hashed as it streams by, so memory does not grow with it.
     """
-    joined = rows.groupBy(*group).agg(F.array_join(F.sort_array(F.collect_list(part)), "").alias("_parts"))
-    return joined.select(*group, F.pandas_udf(_hash_sorted, "string")("_parts").alias("cursor_hash"))
+    ship(rows.sparkSession)
+    kept = rows.select(*group, part.alias("_part"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
+    return kept.repartition(*group).sortWithinPartitions(*group, "_part").mapInArrow(_running_hashes(group), ", ".join([*fields, "cursor_hash string"]))
 
 
 def delta_hashes(diffs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from grovelake.functions.ids import xxh64
 from grovelake.operators import graph, heat, retrieval, search, stats, store, versions
 from grovelake.operators.positions import with_position
 
@@ -61,6 +62,24 @@ def test_history_and_hashes(spark):
     assert d[0].h == "@@ -1,2 +1,2 @@\n a\n-b\n+c" and "+x" in d[1].h
 
 
+def test_hashes_stream_through_batches(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, f"{rng.random()}é"])) for g in (1, 2, None, 3) for _ in range(200 if g == 2 else 5)] + [(4, None)]
+    df = spark.createDataFrame(rows, "g long, p string").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        hashes = versions.cursor_hash(df, ["g"], F.col("p"))
+        got = {r.g: r.cursor_hash for r in hashes.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(got) == hashes.count() == 5
+    for g, h in got.items():
+        assert h == f"{xxh64(''.join(sorted(p for x, p in rows if x == g and p is not None)).encode()):016x}"
+    # no group is gathered in one row
+    assert "collect_list" not in hashes._jdf.queryExecution().toString()
+
+
 def test_greedy_budget_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     rows = [(f"k{i}", rng.choice([0.1, 0.5, 0.9, None, rng.random()]), rng.choice([0, 1, 3, 7, 20, None])) for i in range(200)]
