@@ -32,7 +32,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Each literal credential of nodes and agent_settings."""
-    return credentials.find_credentials(_texts(spark, d)).select("table_name", "record_id", "start_at")
+    return credentials.find_credentials(_texts(spark, d)).select("table_name", "record_id", "start_at").distinct()
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
