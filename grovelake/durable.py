@@ -17,11 +17,17 @@ _own_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and all runs in one process (tests) a temporary one.
+
+    On a cluster each machine would see a temporary folder of its own, so without the setting it is an error there.
+    """
     global _own_root
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="grovelake-")
         atexit.register(shutil.rmtree, _own_root, ignore_errors=True)

@@ -29,6 +29,7 @@ def local_session(cores: int | None = None, app: str = "grovelake", memory: str
 
 
 _shipped: set[str] = set()
+_files: dict[tuple[str, str], str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,3 +50,16 @@ def ship(spark: SparkSession) -> None:
     write_bytes(spark, target, archive.getvalue())
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Give the executors a file of the driver's machine through the shared folder, once per application; its name for ``SparkFiles.get``."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(path))
+    if key not in _files:
+        name = f"{uuid.uuid4().hex}-{os.path.basename(path)}"
+        with open(path, "rb") as f:
+            target = f"{shared_root(spark)}/grovelake/ship-{uuid.uuid4().hex}/{name}"
+            write_bytes(spark, target, f.read())
+        spark.sparkContext.addFile(target)
+        _files[key] = name
+    return _files[key]
