@@ -9,16 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, ship_file
 from ..tables import exact
 
 #: Texts of more characters than this are cut into pieces that several tasks encode.
 PIECE_CHARS = 200_000
-#: Fragments between certain cuts are encoded about this many characters at a time.
-FRAGMENT_CHARS = 2_000
+#: Fragments of at most so many characters are remembered by the worker, so many of them.
+REMEMBERED_CHARS, REMEMBERED = 32, 400_000
 #: Pre-split pattern of the 50k byte-level vocabulary (a fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -31,15 +32,16 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """byte_bpe over fragments between certain cuts.
+    """byte_bpe over the fragments between certain cuts.
 
     A cut between two characters is certain if the pair of bytes around it occurs inside no vocabulary token (then no
     merge crosses it), the character before is no white space (a run of white space is split by what follows it) and
-    the one after is no apostrophe (it may begin a contraction only where a match begins). Fragments between certain
-    cuts are encoded on their own and concatenated; the ids equal those of the whole text.
+    the one after is no apostrophe (it may begin a contraction only where a match begins). Every text is split at all of
+    its certain cuts; the fragments, a few letters each, are encoded on their own and concatenated, and the ids equal
+    those of the whole text. Short fragments come again and again, so their ids are remembered.
     """
 
-    def __init__(self, vocabulary: str, fragment_chars: int = FRAGMENT_CHARS):
+    def __init__(self, vocabulary: str):
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
@@ -49,46 +51,73 @@ class Encoder:
         for token in ranks:
             b = np.frombuffer(token, dtype=np.uint8)
             self.inside[b[:-1], b[1:]] = True
-        self.fragment_chars = fragment_chars
-
-    def certain(self, left: str, right: str) -> bool:
-        """May a text be cut between these two characters?"""
-        if left.isspace() or "\x1c" <= left <= "\x1f" or right == "'":
-            return False
-        return not self.inside[left.encode("utf-8", "replace")[-1], right.encode("utf-8", "replace")[0]]
-
-    def cuts(self, text: str, size: int) -> list[int]:
-        """Certain cuts about ``size`` characters apart; further apart where none is certain."""
-        out, at = [], size
-        while at < len(text):
-            if self.certain(text[at - 1], text[at]):
-                out.append(at)
-                at += size
-            else:
-                at += 1
-        return out
+        self.known: dict[str, list[int]] = {}
+
+    def cuts(self, text: str) -> np.ndarray:
+        """All certain cuts, as numbers of the characters before them."""
+        if text.isascii():
+            code = first = last = np.frombuffer(text.encode(), dtype=np.uint8)
+        else:
+            code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+            first, last = _edge_bytes(code)
+        never = ~self.inside[last[:-1], first[1:]]
+        at = np.nonzero(never)[0]
+        return at[~_SPACES[np.minimum(code[at].astype(np.int64), len(_SPACES) - 1)] & (code[at + 1] != ord("'"))] + 1
+
+    def fragments(self, text: str) -> list[str]:
+        edges = [0, *self.cuts(text).tolist(), len(text)]
+        return [text[a:b] for a, b in zip(edges, edges[1:])]
 
     def pieces(self, text: str, size: int) -> list[str]:
-        edges = [0, *self.cuts(text, size), len(text)]
+        """The text in pieces that end at certain cuts, the first at or after every ``size`` characters."""
+        cuts = self.cuts(text)
+        at, edges = size, [0]
+        while at < len(text):
+            i = np.searchsorted(cuts, at)
+            if i == len(cuts):
+                break
+            edges.append(int(cuts[i]))
+            at = edges[-1] + size
+        edges.append(len(text))
         return [text[a:b] for a, b in zip(edges, edges[1:])]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text; of an empty or null text none."""
         if not text:
             return np.zeros(0, dtype=np.int32)
-        encode = self.encoding.encode_to_numpy
-        if len(text) <= self.fragment_chars:
-            return encode(text, disallowed_special=()).astype(np.int32)
-        return np.concatenate([encode(x, disallowed_special=()).astype(np.int32) for x in self.pieces(text, self.fragment_chars)])
+        known, out = self.known, []
+        for f in self.fragments(text):
+            ids = known.get(f)
+            if ids is None:
+                ids = self.encoding.encode_ordinary(f)
+                if len(f) <= REMEMBERED_CHARS:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[f] = ids
+            out += ids
+        return np.array(out, dtype=np.int32)
+
+
+_SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+
+
+def _edge_bytes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last byte of each character in UTF-8."""
+    lead = [(0x80, lambda c: 0xC0 | c >> 6), (0x800, lambda c: 0xE0 | c >> 12), (0x10000, lambda c: 0xF0 | c >> 18)]
+    first, last = code.copy(), code.copy()
+    for least, byte in lead:
+        at = np.nonzero(code >= least)[0]
+        first[at], last[at] = byte(code[at]), 0x80 | code[at] & 0x3F
+    return first, last
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: str) -> Encoder:
-    """The encoder of a vocabulary file, kept for the life of the Python worker."""
+    """The encoder of a vocabulary that was shipped under this name, kept for the life of the Python worker."""
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
+        _encoders[vocabulary] = Encoder(SparkFiles.get(vocabulary))
     return _encoders[vocabulary]
 
 
@@ -127,7 +156,7 @@ def _encode(vocabulary: str, count_only: bool):
 
 def _encoded(documents: DataFrame, id_col: str, text_col: str, vocabulary: str | None, count_only: bool, piece_chars: int) -> DataFrame:
     ship(documents.sparkSession)
-    vocabulary = vocabulary or default_vocabulary()
+    vocabulary = ship_file(documents.sparkSession, vocabulary or default_vocabulary())
     kind = "long" if count_only else "array<int>"
     key = documents.schema[id_col].dataType.simpleString()
     rows = exact(documents, id_col, text_col).select(F.col(id_col).alias("_key"), F.col(text_col).cast("string").alias("_text"))
@@ -149,7 +178,8 @@ def _encoded(documents: DataFrame, id_col: str, text_col: str, vocabulary: str |
 def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, piece_chars: int = PIECE_CHARS) -> DataFrame:
     """(id, ids): the token ids of each document's text, without special tokens (their strings are ordinary text).
 
-    ``id_col`` is unique. Null and empty texts have the empty list. Texts longer than ``piece_chars`` are cut at certain
+    ``id_col`` is unique. Null and empty texts have the empty list. ``vocabulary`` is a rank file on the driver's machine,
+    which is shipped to the executors. Every text is encoded by its fragments between certain cuts. Texts longer than ``piece_chars`` are cut at certain
     boundaries into pieces that are encoded in different tasks and put together by piece number; all others are encoded
     where they are read, without a shuffle.
     """
