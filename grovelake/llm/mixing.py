@@ -16,8 +16,11 @@ from .encoding import token_counts
 SEED = "mix-1"
 #: Documents in a hash bucket, about; prefix sums are taken over a leaf's buckets, of which there are 2 to 2 ** MOST_BITS.
 BUCKET_DOCS, MOST_BITS = 64, 20
-#: Buckets from the one where the prefix ends whose documents are taken one by one as long as they fit.
-EDGE_BUCKETS = 4
+#: A language weighs its tokens to this power within its source, so that rare languages are not drowned (1: in proportion).
+LANGUAGE_POWER = 0.5
+#: Formats that are leaves of their own; all others are one.
+FORMATS = ("md", "yaml", "json", "jsonl", "html", "toon", "txt")
+LEAF = ["mix_name", "source", "lang", "format"]
 
 
 def source_key(column) -> F.Column:
@@ -82,90 +85,131 @@ def largest_budget(root: Branch) -> float:
     return min((c.capacity * total / c.weight for c in usable), default=0.0)
 
 
-def _sized(documents: DataFrame, vocabulary: str | None) -> DataFrame:
-    """(doc_id, source, lang, n_tokens) of the documents that have tokens; repeated rows are one. Written once, read by budgets and selection."""
-    documents = exact(documents, "doc_id", "text", "source", "lang")
-    sizes = token_counts(documents, vocabulary=vocabulary).where(F.col("n_tokens") > 0).groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
-    keys = documents.groupBy("doc_id").agg(F.max(F.struct(source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"))).alias("k")).select("doc_id", "k.*")
-    return Scratch(documents.sparkSession, "mixing").write(keys.where(F.col("source").isNotNull()).join(sizes, "doc_id"))[1]
+def format_key(column) -> F.Column:
+    """One of ``FORMATS``, or ``other``."""
+    name = F.lower(F.trim(column))
+    return F.when(name.isin(*FORMATS), name).otherwise("other")
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total_tokens: dict[str, float] | None = None) -> list[tuple]:
-    """(mix_name, source, lang, target_share, epoch_tokens, full_epochs, rest, bits) of each leaf; bits: of the hash, for its buckets.
+def keyed(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """(key: struct of doc_id, source, lang and format; text) of the documents whose source some target names."""
+    wanted = {r["source"] for r in _targets(targets)}  # as many as a hand-written table has
+    documents = exact(documents, "doc_id", "text", "source", "lang", "doc_format")
+    key = F.struct("doc_id", source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"), format_key(F.col("doc_format")).alias("format"))
+    return documents.select(key.alias("key"), "text").where(F.col("doc_id").isNotNull() & F.col("key.source").isin(*wanted))
 
-    The tree of a mix is mix, source (weight: its target share), language (weight: its tokens). It is built from sums
-    over all documents: one row per mix, source and language, the only thing that comes to the driver. Without a total
-    for a mix, the largest is taken at which each source that has documents gets its share in full; a source without
-    any leaves its share to the others.
-    """
+
+def sized(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, source, lang, format, n_tokens) of the documents that have tokens and a wanted source; repeated rows are one. Written once, read by budgets and selection."""
+    sizes = token_counts(keyed(documents, targets), "key", "text", vocabulary).where(F.col("n_tokens") > 0)
+    one = sizes.groupBy(F.col("key.doc_id").alias("doc_id")).agg(F.max(F.struct("n_tokens", "key")).alias("r"))
+    rows = one.select("doc_id", *[f"r.key.{c}" for c in LEAF[1:]], "r.n_tokens")
+    return Scratch(documents.sparkSession, "mixing").write(rows)[1]
+
+
+def _targets(targets: DataFrame) -> list:
     targets = exact(targets, "mix_name", "source", "target_share", "max_repeats")
-    rows = targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).distinct().collect()
-    counted = sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
-    sums = {(r["source"], r["lang"]): r["n"] for r in counted}
-    bits = {(r["source"], r["lang"]): min(MOST_BITS, max(1, int(math.log2(max(1, r["docs"] / BUCKET_DOCS))))) for r in counted}
-    out = []
-    for mix in sorted({r["mix_name"] for r in rows}):
-        wanted = {r["source"]: r for r in rows if r["mix_name"] == mix}
-        root = Branch(mix)
-        for source, r in sorted(wanted.items()):
-            langs = sorted((lang, n) for (s, lang), n in sums.items() if s == source)
-            leaves = [Branch(lang, weight=float(n), tokens=n, max_repeats=max(0, r["max_repeats"] or 0)) for lang, n in langs]
-            # a source without documents is a leaf of no capacity
-            root.children.append(Branch(source, weight=max(0.0, r["target_share"] or 0.0), children=leaves))
-        given = allocate(root, (total_tokens or {}).get(mix, largest_budget(root)))
-        for (_, source, *rest), tokens in given.items():
-            if not rest:
-                continue
-            lang, size, most = rest[0], sums[(source, rest[0])], wanted[source]["max_repeats"]
-            full = min(int(tokens // size), most)
-            left = tokens - full * size if full < most else 0.0
-            out.append((mix, source, lang, float(wanted[source]["target_share"]), int(size), full, float(left), bits[(source, lang)]))
-    return out
+    return targets.select("mix_name", source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where(F.col("source").isNotNull()).distinct().collect()
+
 
+_PLAN = "mix_name string, source string, lang string, format string, target_share double, capacity double, budget double, epoch_tokens long, full_epochs int, rest double, bits int"
 
-_PLAN = "mix_name string, source string, lang string, target_share double, epoch_tokens long, full_epochs int, rest double, bits int"
 
+def plan(sizes: DataFrame, targets: DataFrame, totals: dict[str, float] | str | None = None) -> DataFrame:
+    """(mix_name, source, lang, format, target_share, capacity, budget, epoch_tokens, full_epochs, rest, bits) of each leaf; bits: of the hash, for its buckets.
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: dict[str, float] | None = None, vocabulary: str | None = None, seed: str = SEED) -> DataFrame:
-    """(mix_name, doc_id, source, lang, n_tokens, repeats): which documents each mix holds, and how often.
+    The tree of a mix is mix, source (the domain that the targets name; weight: its target share), language (weight: its
+    tokens to the power ``LANGUAGE_POWER``), format (weight: its tokens). A leaf holds at most its tokens times the
+    source's repeats. What a leaf cannot use goes to the formats beside it, then to other languages of the source, and
+    only what the whole source cannot use to other sources.
+
+    ``totals`` gives the tokens of each mix; ``"all"`` means as many as all its sources have together. Without one, the
+    largest is taken at which each source that has documents gets its share in full. The tree is built from sums over
+    all documents: at most one row per wanted source, language code and format comes to the driver.
+    """
+    counted = sizes.groupBy(*LEAF[1:]).agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs")).collect()
+    rows, out = _targets(targets), []
+    for mix in sorted({r["mix_name"] for r in rows}):
+        wanted = {r["source"]: r for r in rows if r["mix_name"] == mix}
+        leaves: dict[str, dict[str, list]] = {s: {} for s in sorted(wanted)}
+        for c in sorted(counted, key=lambda c: (c["lang"], c["format"])):
+            if c["source"] in leaves:
+                leaves[c["source"]].setdefault(c["lang"], []).append(c)
+        root = Branch(mix)
+        for source, langs in leaves.items():
+            most = max(0, wanted[source]["max_repeats"] or 0)
+            branches = [
+                Branch(lang, sum(c["n"] for c in cs) ** LANGUAGE_POWER, children=[Branch(c["format"], float(c["n"]), c["n"], most) for c in cs])
+                for lang, cs in langs.items()
+            ]
+            # a source without documents is a leaf of no capacity
+            root.children.append(Branch(source, weight=max(0.0, wanted[source]["target_share"] or 0.0), children=branches))
+        total = sum(c["n"] for langs in leaves.values() for cs in langs.values() for c in cs) if totals == "all" else (totals or {}).get(mix)
+        given = allocate(root, largest_budget(root) if total is None else float(total))
+        for source, langs in leaves.items():
+            most = max(0, wanted[source]["max_repeats"] or 0)
+            for c in [c for cs in langs.values() for c in cs]:
+                budget, size = given[mix, source, c["lang"], c["format"]], c["n"]
+                full = min(int((budget + 1e-6) // size), most)
+                rest = max(0.0, budget - full * size) if full < most else 0.0
+                bits = min(MOST_BITS, max(1, int(math.log2(max(1, c["docs"] / BUCKET_DOCS)))))
+                out.append((mix, source, c["lang"], c["format"], float(wanted[source]["target_share"] or 0), float(size * most), float(budget), size, full, rest, bits))
+    return sizes.sparkSession.createDataFrame(out, _PLAN)
+
+
+def select(sizes: DataFrame, leaves: DataFrame, seed: str = SEED) -> DataFrame:
+    """(mix_name, doc_id, source, lang, format, n_tokens, repeats): which documents the leaves' budgets take, and how often.
 
     Every document of a leaf comes ``full_epochs`` times; the last epoch's order is a seeded hash, and its prefix of the
-    leaf's remaining tokens comes once more. Prefix sums are taken over hash buckets of a leaf, so a source may hold any
-    part of all rows; only in the buckets around the prefix's end documents are taken one by one, those that no longer
-    fit left out. Documents without tokens, and sources that no mix names, are in no mix. Ties in the hash go by doc_id.
+    leaf's remaining tokens comes once more. The prefix ends before or after the document that crosses its end, so that
+    the leaves of a source together are as near to its budget as can be. Prefix sums are taken over hash buckets of a
+    leaf, so a source may hold any part of all rows; only the bucket in which the prefix ends is sorted. Ties in the
+    hash go by doc_id.
     """
-    spark = documents.sparkSession
-    sizes = _sized(documents, vocabulary)
-    leaves = spark.createDataFrame(plan(sizes, targets, total_tokens), _PLAN)
-    # one row per mix, source and language
-    rows = sizes.join(F.broadcast(leaves), ["source", "lang"])
+    # one row per mix, source, language code and format
+    rows = sizes.join(F.broadcast(leaves.drop("target_share", "capacity", "budget")), LEAF[1:])
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed), "mix_name", "full_epochs", "doc_id"))
     rows = rows.withColumn("_bucket", F.expr("shiftrightunsigned(_order, 64 - bits)"))
-    leaf = ["mix_name", "source", "lang"]
-    sums = rows.groupBy(*leaf, "rest", "_bucket").agg(F.sum("n_tokens").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    last = sums.withColumn("_before", before).where((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_n") > F.col("rest")))
+    sums = rows.groupBy(*LEAF, "rest", "_bucket").agg(F.sum("n_tokens").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*LEAF).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    last = sums.withColumn("_before", before).where((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_n") >= F.col("rest")))
     # at most one row per leaf: the bucket in which its prefix ends
-    edge = last.select(*leaf, F.col("_bucket").alias("_edge"), (F.col("rest") - F.col("_before")).cast("long").alias("_room"))
-    marked = rows.join(F.broadcast(edge), leaf, "left")
-    at_edge = F.coalesce(F.col("_bucket").between(F.col("_edge"), F.col("_edge") + EDGE_BUCKETS - 1), F.lit(False))
-    queue = F.array_sort(F.collect_list(F.struct("_bucket", "_order", "doc_id", "n_tokens")))
-    nobody = F.struct(F.col("_room").alias("room"), F.array().cast(f"array<{documents.schema['doc_id'].dataType.simpleString()}>").alias("ids"))
-
-    def take(acc, x):
-        fits = x["n_tokens"] <= acc["room"]
-        return F.struct(
-            F.when(fits, acc["room"] - x["n_tokens"]).otherwise(acc["room"]).alias("room"),
-            F.when(fits, F.concat(acc["ids"], F.array(x["doc_id"]))).otherwise(acc["ids"]).alias("ids"),
-        )
-
-    taken = marked.where(at_edge).groupBy(*leaf, "_room").agg(queue.alias("_queue"))
-    taken = taken.select(*leaf, F.explode(F.aggregate("_queue", nobody, take)["ids"]).alias("doc_id"), F.lit(1).alias("_taken"))
-    both = marked.join(F.broadcast(taken), [*leaf, "doc_id"], "left")
-    # without an edge the rest is nothing, or the whole epoch
-    extra = F.when(F.col("_edge").isNull(), F.col("rest") >= F.col("epoch_tokens")).otherwise((F.col("_bucket") < F.col("_edge")) | F.col("_taken").isNotNull())
-    repeats = F.col("full_epochs") + extra.cast("int")
-    return both.where(repeats > 0).select("mix_name", "doc_id", "source", "lang", "n_tokens", repeats.alias("repeats"))
+    edge = last.select(*LEAF, F.col("_bucket").alias("_edge"), (F.col("rest") - F.col("_before")).alias("_room"))
+    marked = rows.join(F.broadcast(edge), LEAF, "left")
+    at_edge = F.coalesce(F.col("_bucket") == F.col("_edge"), F.lit(False))
+    inside = marked.where(~at_edge).withColumn("_extra", F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False)))
+    order = Window.partitionBy(*LEAF).orderBy(F.expr("shiftrightunsigned(_order, 1)"), F.expr("_order & 1"), "doc_id")
+    border = marked.where(at_edge).withColumn("_lacks", F.col("_room") - F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("n_tokens"))
+    crossing = border.where((F.col("_lacks") > 0) & (F.col("_lacks") < F.col("n_tokens"))).select(*LEAF, "doc_id", "n_tokens", "_lacks")
+    taken = _nearest(crossing.collect())  # at most one row per leaf
+    chosen = sizes.sparkSession.createDataFrame(taken, crossing.select(*LEAF, "doc_id").schema).withColumn("_taken", F.lit(True))
+    border = border.join(F.broadcast(chosen), [*LEAF, "doc_id"], "left")
+    border = border.withColumn("_extra", (F.col("_lacks") >= F.col("n_tokens")) | F.coalesce("_taken", F.lit(False)))
+    repeats = F.col("full_epochs") + F.col("_extra").cast("int")
+    return inside.unionByName(border.drop("_taken", "_lacks")).where(repeats > 0).select("mix_name", "doc_id", *LEAF[1:], "n_tokens", repeats.alias("repeats"))
+
+
+def _nearest(crossing: list) -> list[tuple]:
+    """Of the documents at the leaves' ends those to take: the large ones first, each so that its source misses its budget by least."""
+    missing: dict[tuple, float] = {}
+    taken = []
+    for r in sorted(crossing, key=lambda r: (-r["n_tokens"], *[r[c] for c in LEAF])):
+        source = (r["mix_name"], r["source"])
+        without = missing.get(source, 0.0) + r["_lacks"]
+        take = abs(without - r["n_tokens"]) < abs(without)
+        missing[source] = without - r["n_tokens"] * take
+        if take:
+            taken.append((*[r[c] for c in LEAF], r["doc_id"]))
+    return taken
+
+
+def mix(documents: DataFrame, targets: DataFrame, totals: dict[str, float] | str | None = None, vocabulary: str | None = None, seed: str = SEED) -> DataFrame:
+    """(mix_name, doc_id, source, lang, format, n_tokens, repeats): the documents of each mix by the budgets of ``plan``.
+
+    Documents without tokens or id, and sources that no mix names, are in no mix.
+    """
+    sizes = sized(documents, targets, vocabulary)
+    return select(sizes, plan(sizes, targets, totals), seed)
 
 
 def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
@@ -178,3 +222,11 @@ def mix_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     # one row per mix and source
     total = F.sum("n_tokens").over(Window.partitionBy("mix_name"))
     return rows.withColumn("actual_share", F.when(total > 0, F.col("n_tokens") / total).otherwise(0.0))
+
+
+def shortages(mixed: DataFrame, leaves: DataFrame, targets: DataFrame) -> DataFrame:
+    """``mix_shares`` with (capacity, budget, moved): the most each source can give, what it was asked for, and how much of that came from sources that ran short (below 0: what it could not give)."""
+    asked = leaves.groupBy("mix_name", "source").agg(F.sum("capacity").alias("capacity"), F.sum("budget").alias("budget"))
+    rows = mix_shares(mixed, targets).join(asked, ["mix_name", "source"], "left").na.fill(0.0, ["capacity", "budget"])
+    # one row per mix and source
+    return rows.withColumn("moved", F.col("budget") - F.col("target_share") * F.sum("budget").over(Window.partitionBy("mix_name")))

@@ -61,6 +61,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_shares(p7_mix(spark, d), read(spark, d, "mix_targets"))
 
 
+def p7_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Mixes of as many tokens as their sources have together: small sources run short, and where their shares go."""
+    targets = read(spark, d, "mix_targets")
+    sizes = mixing.sized(read(spark, d, "documents"), targets)
+    leaves = mixing.plan(sizes, targets, "all")
+    return mixing.shortages(mixing.select(sizes, leaves), leaves, targets)
+
+
+def p7_budgets(spark: SparkSession, d: str) -> DataFrame:
+    """The budgets of all leaves by the same rules, with characters in place of tokens."""
+    targets = read(spark, d, "mix_targets")
+    sizes = mixing.keyed(read(spark, d, "documents"), targets).select("key.*", F.length("text").cast("long").alias("n_tokens")).where(F.col("n_tokens") > 0)
+    leaves = mixing.plan(sizes, targets, "all")
+    return leaves.select(*mixing.LEAF, F.col("epoch_tokens").alias("n_chars"), F.round("budget", 2).alias("budget"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The subject areas of each document."""
     return subjects.document_subjects(read(spark, d, "documents"), read(spark, d, "subject_areas"), read(spark, d, "subject_labels"))
@@ -72,7 +88,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subject_shares(docs, subjects.train(docs, read(spark, d, "subject_areas"), read(spark, d, "subject_labels")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_conversations, p3_found, p3_redacted, p6_ids, p6_sizes, p7_mix, p7_shares, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_conversations, p3_found, p3_redacted, p6_ids, p6_sizes, p7_mix, p7_shares, p7_filled, p7_budgets, p8_found, p8_shares)}
 
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 _TURNS = rf"""with rows as (
@@ -105,7 +121,33 @@ reasons as (
   from whole left join opening using (session_id))
 """
 
+
+
+def _filled(table: str, group: str, name: str) -> str:
+    """SQL of shares by weight under capacities: ``table`` has group, name, weight, capacity, budget; in order of capacity by weight the first ones are full."""
+    return f"""(with r as (select *, sum(capacity) over w - capacity as c_before, sum(weight) over w - weight as w_before, sum(weight) over (partition by {group}) as w_all
+    from {table} where weight > 0 and capacity > 0 window w as (partition by {group} order by capacity / weight, {name} rows unbounded preceding)),
+  f as (select *, (budget - c_before) / (w_all - w_before) >= capacity / weight as is_full from r),
+  l as (select {group}, (max(budget) - coalesce(sum(capacity) filter (is_full), 0)) / nullif(max(w_all) - coalesce(sum(weight) filter (is_full), 0), 0) as per from f group by {group})
+  select f.* exclude (budget), case when is_full then capacity else weight * per end as budget from f join l using ({group}))"""
+
+
 SQL = {
+    "p7_budgets": r"""with s as (select distinct mix_name, regexp_replace(lower(trim(source)), '[\s_-]+', '_', 'g') as source, target_share, max_repeats from mix_targets),
+d as (select regexp_replace(lower(regexp_replace(source, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), '[\s\p{Z}_-]+', '_', 'g') as source, length(text)::double as n,
+  coalesce(nullif(regexp_extract(lower(trim(lang)), '^([a-z]{2,3})(?:[-_].*)?$', 1), ''), 'und') as lang,
+  case when lower(trim(doc_format)) in ('md', 'yaml', 'json', 'jsonl', 'html', 'toon', 'txt') then lower(trim(doc_format)) else 'other' end as format from documents where length(text) > 0),
+leaf as (select mix_name, source, lang, format, max_repeats, target_share, sum(n) as n from d join s using (source) group by all),
+langs as (select mix_name, source, lang, max_repeats, target_share, sum(n) as n from leaf group by all),
+sources as (select mix_name, source, target_share as weight, sum(n) * max_repeats as capacity, sum(n) as n from langs group by mix_name, source, target_share, max_repeats),
+asked as (select *, least(sum(n) over (partition by mix_name), sum(capacity) over (partition by mix_name)) as budget from sources),
+by_source as """
+    + _filled("asked", "mix_name", "source")
+    + """, lang_asked as (select l.mix_name || '/' || l.source as branch, l.lang, sqrt(l.n) as weight, l.n * l.max_repeats as capacity, b.budget, l.n from langs l join by_source b using (mix_name, source)),
+by_lang as """
+    + _filled("lang_asked", "branch", "lang")
+    + """ select mix_name, source, leaf.lang, format, leaf.n::bigint as n_chars, round(by_lang.budget * leaf.n / by_lang.n, 2) as budget
+from leaf join by_lang on branch = mix_name || '/' || source and leaf.lang = by_lang.lang""",
     "p2_found": _TURNS + "select session_id from reasons where reason is not null",
     "p2_reasons": _TURNS + "select session_id, reason from reasons where reason is not null",
     "p2_conversations": _TURNS
