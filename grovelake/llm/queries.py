@@ -84,8 +84,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """How much of each document each subject takes up."""
-    docs = read(spark, d, "documents")
-    return subjects.subject_shares(docs, subjects.train(docs, read(spark, d, "subject_areas"), read(spark, d, "subject_labels")))
+    return subjects.corpus_shares(read(spark, d, "documents"), read(spark, d, "subject_areas"), read(spark, d, "subject_labels"))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p2_conversations, p3_found, p3_redacted, p6_ids, p6_sizes, p7_mix, p7_shares, p7_filled, p7_budgets, p8_found, p8_shares)}

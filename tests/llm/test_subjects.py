@@ -41,11 +41,11 @@ def corpus(n, seed):
 def test_held_out_accuracy(spark):
     rows, truth, labels = corpus(400, 3)
     areas = spark.createDataFrame([("music", "d"), ("law", "d")], "subject string, description string")
-    docs = spark.createDataFrame(rows, DOCS)
+    docs = s.unit_features(spark.createDataFrame(rows, DOCS))
     model = s.train(docs, areas, spark.createDataFrame(labels, "doc_id long, subject string"))
     fresh, want, _ = corpus(200, 77)
     fresh = spark.createDataFrame([(i, t, f, "/v/none.txt") for i, t, f, _ in fresh], DOCS)
-    got = {(r.doc_id, r.subject) for r in s.subject_shares(fresh, model).where(f"share >= {s.LEAST_SHARE}").collect()}
+    got = {(r.doc_id, r.subject) for r in s.subject_shares(s.unit_features(fresh), model).where(f"share >= {s.LEAST_SHARE}").collect()}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
@@ -63,7 +63,7 @@ def test_document_frequencies_are_those_of_the_corpus(spark):
     rows, _, labels = corpus(300, 5)
     rows.append((300, "\n".join([*["Nothing of note here."] * 250, "The oboe ended late."]), "txt", "/v/music/300.txt"))
     areas = spark.createDataFrame([("music", "d"), ("law", "d")], "subject string, description string")
-    model = s.train(spark.createDataFrame(rows, DOCS), areas, spark.createDataFrame(labels, "doc_id long, subject string"), docs=10)
+    model = s.train(s.unit_features(spark.createDataFrame(rows, DOCS)), areas, spark.createDataFrame(labels, "doc_id long, subject string"), docs=10)
     units = [set(s.features(u).tolist()) for _, text, kind, _ in rows for part in text_units(text, kind) for u in part]
     df = Counter(b for u in units for b in u)
     known = [b for b in df if model.idf[b] != 0]
@@ -75,8 +75,10 @@ def test_document_frequencies_are_those_of_the_corpus(spark):
 
 def test_sampled_texts_are_whole(spark):
     text = "\n".join([*["Nothing of note here."] * 250, "The oboe ended late."])
-    sample = s.training_sample(spark.createDataFrame([(1, text, "txt", "/v/music/1.txt")], DOCS), ["music"], None)
-    assert sample.num_rows == len(text_units(text, "txt")[0]) > 250
+    units = s.unit_features(spark.createDataFrame([(1, text, "txt", "/v/music/1.txt")], DOCS))
+    sample = s.training_sample(units, s.weak_labels(units, ["music"], None))
+    assert len(sample["sizes"][0]) == len(text_units(text, "txt")[0]) > 250
+    assert sample["buckets"][0].as_py() == [b for u in text_units(text, "txt")[0] for b in s.features(u).tolist()]
 
 
 def test_thresholds_use_all_held_out_documents_whole(spark):
@@ -84,14 +86,16 @@ def test_thresholds_use_all_held_out_documents_whole(spark):
     rows = [(i, "\n".join([*filler, *music]), "txt", f"/v/notes/{i}.txt") for i in range(80)]
     areas = spark.createDataFrame([("music", "d"), ("law", "d")], "subject string, description string")
     docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, "music") for i in range(80)], "doc_id long, subject string")
-    weights = s.np.zeros((2, s.BUCKETS), s.np.float32)
-    weights[1, s.features("oboe")] = 9.0
+    docs = s.unit_features(docs)
+    weights = s.np.zeros((s.BUCKETS, 2), s.np.float32)
+    weights[s.features("oboe"), 1] = 9.0
     model = s.Model(["law", "music"], s.np.ones(s.BUCKETS, s.np.float32), weights, s.np.full(2, -4.0))
-    counts = s.held_out_counts(docs, labels, model).query("j == 1")
+    weak = s.weak_labels(docs, ["law", "music"], labels)
+    counts = s.held_out_counts(docs, weak, model).query("j == 1")
     n = docs.selectExpr("pmod(xxhash64(doc_id, 'held'), 4) = 0 as h").where("h").count()
     assert n > 5 and set(counts["want"]) == {n} and counts.query("i == 0")["hits"].item() == n
     # held-out documents are no rows of the fits, and few of them choose a threshold as many do
-    assert s.training_sample(docs, ["law", "music"], labels)["doc_id"].to_pandas().nunique() == 80 - n
+    assert s.training_sample(docs, weak)["doc_id"].to_pandas().nunique() == 80 - n
     assert s.train(docs, areas, labels, docs=3).thresholds.tolist() != [s.THRESHOLD] * 2
 
 
@@ -105,3 +109,30 @@ def test_one_rule_for_thresholds_at_every_size():
     assert choose(1, 0.1) == choose(10, 0.8) == [0.2, 0.2]
     assert choose(10, 0.1) == choose(300, 0.8) == [0.5, 0.2]  # ten that differ much say as much as many that differ little
     assert s.choose_thresholds(s.pd.DataFrame({c: [] for c in ("j", "i", "hits", "got", "want")}).astype(int), 2).tolist() == [s.THRESHOLD] * 2
+
+
+def test_buckets_of_many_units_are_those_of_each():
+    units = ["The oboe, the oboe ended.", "", "Ça va? ça va", "x1 22", "one two three one two"]
+    buckets, sizes = s.bucket_rows(units)
+    edges = s.np.concatenate([[0], s.np.cumsum(sizes)])
+    assert [buckets[a:b].tolist() for a, b in zip(edges, edges[1:])] == [s.features(u).tolist() for u in units]
+    assert sizes.tolist() == [3 + 3, 0, 2 + 2, 1, 3 + 3]  # the, oboe, ended; the oboe, oboe the, oboe ended
+    assert s.features("a b").tolist() != s.features("b a").tolist() and len(s.bucket_rows([])[0]) == 0
+
+
+def test_scores_are_those_of_each_row_alone():
+    rng = s.np.random.default_rng(3)
+    units = [" ".join(rng.choice(["oboe", "fugue", "verdict", "clause", "the", "a"], rng.integers(0, 6))) for _ in range(50)]
+    model = s.Model(["law", "music"], rng.random(s.BUCKETS).astype("float32"), rng.normal(size=(s.BUCKETS, 2)).astype("float32"), s.np.array([0.1, -0.2]))
+    got = model.probabilities(*s.bucket_rows(units))
+    for i, u in enumerate(units):
+        f = s.features(u)
+        v = model.idf[f] / max(1e-9, float(s.np.sqrt((model.idf[f] ** 2).sum())))
+        assert s.np.allclose(got[i], 1 / (1 + s.np.exp(-(v @ model.weights[f] + model.bias))), atol=1e-5)
+
+
+def test_headings_label_what_has_no_label(spark):
+    rows = [(i, "# Aria night\n\nSome text.", "md", "/v/music/a.md") for i in range(6)] + [(20 + i, "# Contacts\n\nSome text.", "md", f"/v/{x}/a.md") for i, x in enumerate(["music", "law"] * 4)]
+    rows += [(100, "# ARIA night\n\nOther.", "md", "/v/notes/b.md"), (101, "# Contacts\n\nOther.", "md", "/v/notes/b.md"), (102, "# Aria night\n\nOther.", "md", "/v/law/b.md")]
+    weak = {r.doc_id: r._weak for r in s.weak_labels(s.unit_features(spark.createDataFrame(rows, DOCS)), ["law", "music"], None).collect()}
+    assert (weak[100], weak[101], weak[102]) == (["music"], [], ["law"]) and len(weak) == len(rows)
