@@ -16,8 +16,8 @@ from ..tables import exact
 STATE_SCHEMA = "node_id string, snapshot_id long, diff_id long, is_removed boolean"
 #: Memory of one task's embedded DuckDB; it holds one row per node of its bucket and spills beyond that.
 DUCKDB_MEMORY = "256MB"
-#: Rows that are upserted at once.
-UPSERT_ROWS = 65_536
+#: Rows that are upserted at once, and changes that a bucket gets on average at most.
+UPSERT_ROWS, BUCKET_ROWS = 65_536, 1_000_000
 
 
 def committed_changes(diffs: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -41,7 +41,10 @@ def committed_changes(diffs: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def _upsert_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Upsert the changes of one bucket: a later (snapshot_id, diff_id) replaces the stored one, removals stay as tombstones."""
+    import os
+
     import duckdb
+    from pyspark import SparkFiles
 
     names = ["node_id", "snapshot_id", "diff_id", "is_removed"]
     con = None
@@ -63,7 +66,9 @@ def _upsert_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if not batch.num_rows:
             continue
         if con is None:
-            con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
+            # what does not fit spills into the executor's own folder, as Spark's sorts do
+            spill = os.path.join(SparkFiles.getRootDirectory(), f"upsert-{os.getpid()}")
+            con = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": spill})
             con.execute("create table state (node_id varchar primary key, snapshot_id bigint, diff_id bigint, is_removed boolean)")
         rows.append(batch)
         if sum(b.num_rows for b in rows) >= UPSERT_ROWS:
@@ -85,11 +90,19 @@ def latest_state(diffs: DataFrame, snapshots: DataFrame) -> DataFrame:
 
     Two rounds of the same upsert: first over the change key's own partitioning, where a hot node's changes are spread
     over all tasks and each task keeps one row per node; then per bucket of node ids, over at most one row per node and
-    task. Changes compare by (snapshot_id, diff_id), so the order in which rows arrive does not matter.
+    task. Changes compare by (snapshot_id, diff_id), so the order in which rows arrive does not matter. The number of
+    buckets grows with the changes: ``BUCKET_ROWS`` each on average.
     """
     ship(diffs.sparkSession)
-    partial = committed_changes(diffs, snapshots).mapInArrow(_upsert_bucket, STATE_SCHEMA)
-    return partial.repartition("node_id").mapInArrow(_upsert_bucket, STATE_SCHEMA)
+    spark = diffs.sparkSession
+    buckets = -(-diffs.count() // BUCKET_ROWS)  # from the files' footers
+    # few changes: as many buckets as the planner finds fit
+    n = [buckets] if buckets > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    changes = committed_changes(diffs, snapshots)
+    if n:
+        changes = changes.repartition(*n, "node_id", "snapshot_id", "diff_id")
+    partial = changes.mapInArrow(_upsert_bucket, STATE_SCHEMA)
+    return partial.repartition(*n, "node_id").mapInArrow(_upsert_bucket, STATE_SCHEMA)
 
 
 def existing_nodes(state: DataFrame) -> DataFrame:
@@ -98,9 +111,12 @@ def existing_nodes(state: DataFrame) -> DataFrame:
 
 
 def with_content(existing: DataFrame, diffs: DataFrame) -> DataFrame:
-    """(node_id, diff_id, content): contents are fetched by the winning change's id only after the winners are known."""
-    texts = exact(diffs, "id", "new_content").groupBy(F.col("id").alias("diff_id")).agg(F.max("new_content").alias("content"))
-    return existing.join(texts, "diff_id", "left").select("node_id", "diff_id", "content")
+    """(node_id, diff_id, content): contents are fetched by the winning change's id only after the winners are known; those of all other changes are not aggregated.
+
+    Of several rows with one id the greatest content counts.
+    """
+    texts = exact(diffs, "id", "new_content").select(F.col("id").alias("diff_id"), F.col("new_content").alias("content"))
+    return existing.join(texts, "diff_id", "left").groupBy("node_id", "diff_id").agg(F.max("content").alias("content"))
 
 
 def publish(df: DataFrame, root: str) -> str:

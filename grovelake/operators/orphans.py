@@ -11,8 +11,8 @@ from ..tables import blank_to_null, current_rows, exact
 SEPARATOR = "\u0001"
 #: Columns that are read of pending references.
 PENDING = ["id", "target_label", "target_source", "target_id_hint", "created_at"]
-#: A key referred to by more rows than this is handed to several tasks when its records are listed.
-HOT_KEY_ROWS = 200_000
+#: A key referred to by more rows than this, and than one in ``MOST_HOT_KEYS`` of the lost references, is handed to several tasks when its records are listed.
+HOT_KEY_ROWS, MOST_HOT_KEYS = 200_000, 1_000
 #: Tasks among which the records of one hot key are spread.
 HOT_KEY_SPLITS = 32
 
@@ -85,15 +85,16 @@ def orphan_keys(children: DataFrame, parents: DataFrame) -> DataFrame:
 def orphan_records(nodes: DataFrame, relations: DataFrame, pending: DataFrame) -> DataFrame:
     """(table_name, created_month, record_id): each record whose reference finds no node; created_month is ``yyyy-MM`` in UTC, null without created_at.
 
-    The records of a key with more than ``HOT_KEY_ROWS`` children are spread over ``HOT_KEY_SPLITS`` tasks: the orphan
-    key is repeated so often and the child takes the split of its record id. There are at most rows / HOT_KEY_ROWS such
-    keys, so the broadcast list of them is short at any size. The orphan keys themselves are a written table, which the
-    planner broadcasts only if its file size allows.
+    The records of a hot key are spread over ``HOT_KEY_SPLITS`` tasks: the orphan key is repeated so often and the child
+    takes the split of its record id. A hot key has more than ``HOT_KEY_ROWS`` children and more than one in
+    ``MOST_HOT_KEYS`` of all that are lost, so there are at most so many, at any size, and their list is broadcast. The
+    orphan keys themselves are a written table, which the planner broadcasts only if its file size allows.
     """
     children = child_keys(nodes, relations, pending)
     _, lost = Scratch(nodes.sparkSession, "orphans").write(orphan_keys(children, parent_keys(nodes, pending)))
-    hot = lost.where(F.col("n") > HOT_KEY_ROWS).select("kind", "key", F.lit(True).alias("is_hot"))
-    splits = F.when(F.col("n") > HOT_KEY_ROWS, F.sequence(F.lit(0), F.lit(HOT_KEY_SPLITS - 1))).otherwise(F.array(F.lit(0)))
+    least = max(HOT_KEY_ROWS, (lost.agg(F.sum("n")).first()[0] or 0) // MOST_HOT_KEYS)
+    hot = lost.where(F.col("n") > least).select("kind", "key", F.lit(True).alias("is_hot"))
+    splits = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(HOT_KEY_SPLITS - 1))).otherwise(F.array(F.lit(0)))
     wanted = lost.select("kind", "key", F.explode(splits).alias("split"))
     spread = F.when(F.col("is_hot"), F.pmod(F.xxhash64("record_id"), F.lit(HOT_KEY_SPLITS)).cast("int")).otherwise(F.lit(0))
     marked = children.join(F.broadcast(hot), ["kind", "key"], "left").withColumn("split", spread)

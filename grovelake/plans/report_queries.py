@@ -56,7 +56,7 @@ def snapshots_all(t: Tables) -> DataFrame:
 def snapshot_diffs(t: Tables) -> DataFrame:
     """Changes per snapshot."""
     n = lambda op: F.count_if(F.col("op") == op)
-    return t.diffs.groupBy("snapshot_id").agg(n("add").alias("added"), n("mod").alias("modified"), n("rem").alias("removed"))
+    return t.changes().groupBy("snapshot_id").agg(n("add").alias("added"), n("mod").alias("modified"), n("rem").alias("removed"))
 
 
 @query(
@@ -68,7 +68,7 @@ select compile_root, count(*) as files, sum(nodes)::bigint as nodes, sum(tokens)
 )
 def files_by_root(t: Tables) -> DataFrame:
     """Files, nodes and tokens per compile root."""
-    return render.files_by_root(store.file_summaries(t.pick("source_file", "token_count"), t.diffs, t.snapshots))
+    return render.files_by_root(store.file_summaries(t.pick("source_file", "token_count"), t.changes(), t.snapshots))
 
 
 @query(f"with {sq._NOW_NODES} select source_file, cast(sum(cast(temperature as decimal(18, 4))) as double) / count(*) as avg_temperature, count(*) filter (temperature >= 0.5) as hot, count(*) filter (temperature < 0.1) as cold, count(*) filter (pinned) as pinned from cur group by all")
@@ -82,7 +82,7 @@ def temperature_by_file(t: Tables) -> DataFrame:
 def diff_texts(t: Tables) -> DataFrame:
     """The changes of the middle half of the snapshots as text."""
     last = t.last_snapshot()
-    return render.diff_texts(versions.net_diff(t.diffs, last // 4, last * 3 // 4))
+    return render.diff_texts(versions.net_diff(t.changes("old_content", "new_content"), last // 4, last * 3 // 4))
 
 
 @query()

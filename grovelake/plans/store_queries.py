@@ -36,9 +36,9 @@ class Tables:
         """Current nodes with id and these columns; nothing else is read or shuffled."""
         return store.nodes_now(self.raw("nodes").select("id", "updated_at", *columns)).drop(*({"updated_at"} - set(columns)))
 
-    @property
-    def diffs(self) -> DataFrame:
-        return store.changes_once(self.raw("diffs"))
+    def changes(self, *columns: str) -> DataFrame:
+        """Distinct changes with their key and these columns; nothing else is read or shuffled."""
+        return store.changes_once(self.raw("diffs").select("id", "snapshot_id", "node_id", "op", "old_hash", "new_hash", *columns))
 
     @property
     def snapshots(self) -> DataFrame:
@@ -154,13 +154,13 @@ from cur c left join touched using (source_file) left join snaps on snaps.id = s
 )
 def file_summaries(t: Tables) -> DataFrame:
     """Nodes, tokens and compile root of each file."""
-    return store.file_summaries(t.pick("source_file", "token_count"), t.diffs, t.snapshots)
+    return store.file_summaries(t.pick("source_file", "token_count"), t.changes(), t.snapshots)
 
 
 @query(f"with {_NOW_NODES}, {_CHANGES}, {_SNAPS}, last as (select node_id, max(snapshot_id) as sid from ch group by all) select cur.id as node_id, compile_root from cur join last on node_id = cur.id join snaps on snaps.id = sid")
 def latest_state_by_root(t: Tables) -> DataFrame:
     """Each node under the root of the last snapshot that touched it."""
-    return store.nodes_by_compile_root(t.pick(), t.diffs, t.snapshots)
+    return store.nodes_by_compile_root(t.pick(), t.changes(), t.snapshots)
 
 
 @query(f"with {_NOW_NODES}, per as (select pid, count(*) - 1 as n from cur where pid is not null group by all) select id as node_id, coalesce(n, 0) as siblings from cur left join per using (pid)")
@@ -349,7 +349,7 @@ deltas as (select coalesce(a.node_id, b.node_id) as node_id, case when a.node_id
 
 
 def _deltas(t: Tables) -> DataFrame:
-    last, diffs = t.last_snapshot(), t.diffs
+    last, diffs = t.last_snapshot(), t.changes("new_content")
     return versions.diff_states(versions.state_at(diffs, last // 2), versions.state_at(diffs, 1 << 62))
 
 
@@ -368,7 +368,7 @@ def change_counts(t: Tables) -> DataFrame:
 @query(f"with {_CHANGES} select id, snapshot_id, node_id, op from ch where snapshot_id > {_LAST_ID} * 3 // 4")
 def delta_since(t: Tables) -> DataFrame:
     """All changes of the last quarter of the snapshots."""
-    return versions.delta_since(t.diffs, t.last_snapshot() * 3 // 4).select("id", "snapshot_id", "node_id", "op")
+    return versions.delta_since(t.changes(), t.last_snapshot() * 3 // 4).select("id", "snapshot_id", "node_id", "op")
 
 
 @query(
@@ -384,21 +384,21 @@ select node_id, snapshot_id, op, case when op <> 'add' then old_hash end as old_
 def net_diff(t: Tables) -> DataFrame:
     """One record per node that the middle half of the snapshots changed on the whole."""
     last = t.last_snapshot()
-    return versions.net_diff(t.diffs, last // 4, last * 3 // 4)
+    return versions.net_diff(t.changes("old_content", "new_content"), last // 4, last * 3 // 4)
 
 
 @query()
 def net_diff_text(t: Tables) -> DataFrame:
     """The same as unified differences."""
     last = t.last_snapshot()
-    d = versions.net_diff(t.diffs, last // 4, last * 3 // 4)
+    d = versions.net_diff(t.changes("old_content", "new_content"), last // 4, last * 3 // 4)
     return d.select("node_id", "op", versions.unified_diff(F.col("old_content"), F.col("new_content")).alias("hunks"))
 
 
 @query(f"with {_CHANGES} select node_id, rank, id, snapshot_id, op from (select *, cast(row_number() over (partition by node_id order by snapshot_id, id) as int) as rank from ch) where rank <= 10")
 def node_history(t: Tables) -> DataFrame:
     """The first ten changes of each node."""
-    return versions.history(t.diffs).select("node_id", "rank", "id", "snapshot_id", "op")
+    return versions.history(t.changes()).select("node_id", "rank", "id", "snapshot_id", "op")
 
 
 def _head(t: Tables) -> DataFrame:
@@ -437,14 +437,14 @@ def rollback_deltas(t: Tables) -> DataFrame:
 @query()
 def delta_hashes(t: Tables) -> DataFrame:
     """Hash of each snapshot's changes."""
-    return versions.delta_hashes(t.diffs)
+    return versions.delta_hashes(t.changes())
 
 
 @query(f"select distinct id from snapshots where id <= {_LAST_ID} // 2 or id = {_LAST_ID}")
 def prune_snapshots(t: Tables) -> DataFrame:
     """The snapshots that stay when all after the middle go, but the last."""
     last = t.last_snapshot()
-    return store.prune_after(t.snapshots, t.diffs, last // 2, last)[0].select("id")
+    return store.prune_after(t.snapshots, t.changes(), last // 2, last)[0].select("id")
 
 
 @query(
@@ -624,13 +624,13 @@ select "check", case when n > 0 then 'fail' else 'pass' end as status, n from c
 )
 def doctor(t: Tables) -> DataFrame:
     """Integrity of the store."""
-    return stats.doctor(t.pick("parent_id"), t.diffs, t.snapshots, t.last_snapshot())
+    return stats.doctor(t.pick("parent_id"), t.changes(), t.snapshots, t.last_snapshot())
 
 
 @query(f"with {_CHANGES} select id from ch where snapshot_id not in (select id from snapshots)")
 def dangling(t: Tables) -> DataFrame:
     """Changes whose snapshot is not there."""
-    return t.diffs.join(t.snapshots.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_anti").select("id")
+    return t.changes().join(t.snapshots.select(F.col("id").alias("snapshot_id")), "snapshot_id", "left_anti").select("id")
 
 
 @query(f"with {_NOW_NODES} select id, case when pid in (select id from cur) then pid end as parent_id from cur")
