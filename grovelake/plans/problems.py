@@ -10,13 +10,13 @@ from ..operators import changefeed, hierarchy, orphans
 from ..tables import current_rows, read
 
 
-def _hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.resolve_hierarchy(current_rows(read(spark, d, "nodes"), "parent_id", "depth"), extra=("depth",))
+def _hierarchy(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return hierarchy.resolve_hierarchy(current_rows(read(spark, d, "nodes"), "parent_id", "depth"), extra=("depth",), paths=paths)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Nodes whose stored depth is wrong, and nodes whose chain of parents never ends."""
-    return hierarchy.wrong_depths_and_loops(_hierarchy(spark, d))
+    return hierarchy.wrong_depths_and_loops(_hierarchy(spark, d, paths=False))
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -30,19 +30,21 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_hierarchy(spark, d))
 
 
-def _state(spark: SparkSession, d: str) -> DataFrame:
-    return changefeed.latest_state(read(spark, d, "diffs"), read(spark, d, "snapshots"))
+def _existing(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that exist, from the version that the feed published."""
+    state = changefeed.latest_state(read(spark, d, "diffs"), read(spark, d, "snapshots"))
+    version = changefeed.publish(state, Scratch(spark, "mirror").base)
+    return changefeed.existing_nodes(spark.read.schema(changefeed.STATE_SCHEMA).parquet(version))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that exist after all changes, from the version that the feed published."""
-    version = changefeed.publish(_state(spark, d), Scratch(spark, "mirror").base)
-    return changefeed.existing_nodes(spark.read.schema(changefeed.STATE_SCHEMA).parquet(version))
+    return _existing(spark, d)
 
 
 def p4_content(spark: SparkSession, d: str) -> DataFrame:
     """The same nodes with their content."""
-    return changefeed.with_content(changefeed.existing_nodes(_state(spark, d)), read(spark, d, "diffs"))
+    return changefeed.with_content(_existing(spark, d), read(spark, d, "diffs"))
 
 
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
