@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import human_age, human_bytes
 from .hierarchy import resolve_hierarchy
+from .positions import with_position
 from .versions import unified_diff
 
 
@@ -76,5 +77,6 @@ def mid_size_nodes(nodes: DataFrame) -> DataFrame:
     """(source_file, node_id, token_count): of the file with the most tokens the nodes between the first quartile and the median by size."""
     top = nodes.groupBy("source_file").agg(F.sum(F.col("token_count").cast("long")).alias("n")).orderBy(F.col("n").desc(), "source_file").limit(1)
     rows = nodes.join(F.broadcast(top.select("source_file")), "source_file", "left_semi")
-    rank = F.percent_rank().over(Window.partitionBy("source_file").orderBy("token_count", "id"))
-    return rows.withColumn("_r", rank).where(F.col("_r").between(0.25, 0.5)).select("source_file", F.col("id").alias("node_id"), "token_count")
+    placed = with_position(rows.select("source_file", "id", "token_count"), ["source_file"], ["token_count", "id"], "_at")
+    middle = (F.col("_at") / F.lit(max(placed.count() - 1, 1))).between(0.25, 0.5)
+    return placed.where(middle).select("source_file", F.col("id").alias("node_id"), "token_count")

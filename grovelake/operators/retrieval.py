@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .hierarchy import resolve_hierarchy
+from ..durable import Scratch
+from .positions import with_position, with_running_sum
 
 #: Candidates that a budget is filled from at a time; see ``greedy_budget``.
 BLOCK = 1_024
-#: Ids of one batch at most.
-MOST_IDS = 256
+#: Ids of one batch at most, and rows that are numbered in one task.
+MOST_IDS, FEW_ROWS = 256, 100_000
 
 
 def recency(last_accessed_at, now: int) -> Column:
@@ -53,6 +54,8 @@ def greedy_budget(candidates: DataFrame, budget: int, tokens: str = "token_count
                 kept.append((r["k"],))
         if len(block) < BLOCK:
             break
+        if last is None:
+            _, slim = Scratch(spark, "budget").write(slim)  # what the next blocks are taken from
         last = (block[-1]["s"], block[-1]["k"])
     kinds = candidates.schema[key].dataType.simpleString()
     chosen = spark.createDataFrame(kept, f"{key} {kinds}")  # at most one row per token of the budget
@@ -63,45 +66,73 @@ def prefix_budget(candidates: DataFrame, budget: int, order: list, tokens: str =
     """The longest prefix of each group, in ``order`` (total), whose tokens fit: it stops at the first overflow. <= 0 keeps all."""
     if budget <= 0:
         return candidates
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return candidates.withColumn("_sum", F.sum(F.coalesce(F.col(tokens), F.lit(0)).cast("long")).over(w)).where(F.col("_sum") <= budget).drop("_sum")
+    rows = candidates if group else candidates.withColumn("_all", F.lit(0))
+    kept = with_running_sum(rows, group or ["_all"], order, tokens, "_sum").where(F.col("_sum") <= budget)
+    return kept.select(*candidates.columns)
 
 
-def context(nodes: DataFrame, anchor: str, depth: int = 32, hierarchy: DataFrame | None = None) -> DataFrame:
+def context(nodes: DataFrame, anchor: str, depth: int = 32) -> DataFrame:
     """(node_id, relation): ancestors, descendants up to ``depth`` levels and siblings of one node, each node once under the first that applies; without the anchor. Siblings of a root are none.
 
-    ``hierarchy`` is ``resolve_hierarchy`` of the nodes where it is kept as a table; then one scan of it answers.
+    A node on a loop has neither ancestors nor descendants. The answer is reached from the anchor: one look-up per
+    ancestor, one join per level below with the level before, a written table which the planner broadcasts if its size
+    allows. Nothing is computed for the rest of the forest but a scan of id and parent per level.
     """
-    h = resolve_hierarchy(nodes.select("id", "parent_id")) if hierarchy is None else hierarchy
-    own = h.where(F.col("node_id") == anchor)
-    up = own.select(F.explode("path").alias("node_id"), F.lit(0).alias("r"))
-    at = F.array_position("path", F.lit(anchor))
-    down = h.where((at > 0) & (F.size("path") - at <= depth)).select("node_id", F.lit(1).alias("r"))
-    parent = nodes.where(F.col("id") == anchor).select(F.col("parent_id").alias("_p"))
-    beside = nodes.join(F.broadcast(parent), F.col("parent_id") == F.col("_p")).select(F.col("id").alias("node_id"), F.lit(2).alias("r"))
-    all_ = up.unionByName(down).unionByName(beside).where(F.col("node_id") != anchor)
+    spark = nodes.sparkSession
+    scratch = Scratch(spark, "context")
+    _, links = scratch.write(nodes.select("id", "parent_id"))
+    up, at, loop = [], anchor, False
+    while at is not None and not loop:
+        row = links.where(F.col("id") == at).select("parent_id").first()
+        at = row[0] if row else None
+        if row and at is not None:
+            loop = at == anchor or at in up
+            up.append(at)
+    parent = up[0] if up else None
+    if up and not loop and row is None:
+        up.pop()  # the chain ends at an id without a row
+    levels = []
+    children = links.select(F.col("parent_id").alias("_up"), F.col("id").alias("node_id"))
+    front = None
+    for _ in range(0 if loop else depth):
+        seen = Observation()
+        step = children.where(F.col("_up") == anchor) if front is None else children.join(front.select(F.col("node_id").alias("_up")), "_up")
+        path, front = scratch.write(step.select("node_id").observe(seen, F.count("*").alias("n")))
+        if not seen.get["n"]:
+            break
+        levels.append(path)
+    rows = spark.createDataFrame([(i, 0) for i in ([] if loop else up)], "node_id string, r int")
+    if levels:
+        rows = rows.unionByName(spark.read.schema("node_id string").parquet(*levels).withColumn("r", F.lit(1)))
+    if parent is not None:
+        rows = rows.unionByName(links.where(F.col("parent_id") == parent).select(F.col("id").alias("node_id"), F.lit(2).alias("r")))
     names = F.element_at(F.array(F.lit("ancestor"), F.lit("descendant"), F.lit("sibling")), F.min("r") + 1)
-    return all_.groupBy("node_id").agg(names.alias("relation"))
+    return rows.where(F.col("node_id") != anchor).groupBy("node_id").agg(names.alias("relation"))
 
 
-def fetch(nodes: DataFrame, anchor: str, budget: int, now: int, depth: int = 32, hierarchy: DataFrame | None = None) -> DataFrame:
+def fetch(nodes: DataFrame, anchor: str, budget: int, now: int, depth: int = 32) -> DataFrame:
     """(node_id, relation, score, token_count, position): the anchor with its context under a token budget, best last.
 
     The anchor is always there and comes last, even over budget; the rest has what it leaves (nothing is kept of the
     rest where it leaves nothing).
     """
+    scratch = Scratch(nodes.sparkSession, "fetch")
+    _, nodes = scratch.write(nodes.select("id", "parent_id", "temperature", "last_accessed_at", "token_count"))
     own = nodes.where(F.col("id") == anchor).select(F.col("id").alias("node_id"), F.lit("anchor").alias("relation"), F.lit(None).cast("double").alias("score"), "token_count")
     head = own.select("token_count").collect()
     if not head:
         raise KeyError(anchor)
-    rest = nodes.withColumnRenamed("id", "node_id").join(context(nodes, anchor, depth, hierarchy), "node_id")
+    rest = nodes.withColumnRenamed("id", "node_id").join(context(nodes, anchor, depth), "node_id")
     rest = rest.select("node_id", "relation", score(F.lit(1.0), F.col("temperature"), F.col("last_accessed_at"), now).alias("score"), "token_count")
     if budget > 0:
         room = budget - (head[0][0] or 0)
-        rest = greedy_budget(rest, room) if room > 0 else rest.limit(0)
-    from .positions import with_position
-
-    placed = with_position(rest.unionByName(own).withColumn("_all", F.lit(0)), ["_all"], [F.col("score").asc_nulls_last(), F.col("node_id").desc()])
+        rest = greedy_budget(scratch.write(rest)[1], room) if room > 0 else rest.limit(0)
+    seen = Observation()
+    _, kept = scratch.write(rest.unionByName(own).observe(seen, F.count("*").alias("n")))
+    best_last = [F.col("score").asc_nulls_last(), F.col("node_id").desc()]
+    if seen.get["n"] <= FEW_ROWS:
+        return kept.withColumn("position", F.row_number().over(Window.orderBy(*best_last)) - 1)
+    placed = with_position(kept.withColumn("_all", F.lit(0)), ["_all"], best_last)
     return placed.select("node_id", "relation", "score", "token_count", "position")
 
 

@@ -79,11 +79,11 @@ def promote_orphans(nodes: DataFrame) -> DataFrame:
 
 
 def index_differences(stored: DataFrame, computed: DataFrame) -> DataFrame:
-    """Postings (term, node_id, tf) that only one side has or that differ: the check of an index against its content."""
+    """Postings (term, node_id, at) that only one side has or whose places differ: the check of an index against its content."""
     a, b = stored.alias("a"), computed.alias("b")
-    j = a.join(b, (F.col("a.term") == F.col("b.term")) & (F.col("a.node_id") == F.col("b.node_id")), "full_outer")
-    wrong = j.where(~F.col("a.tf").eqNullSafe(F.col("b.tf")))
-    return wrong.select(F.coalesce("a.term", "b.term").alias("term"), F.coalesce("a.node_id", "b.node_id").alias("node_id"), F.col("a.tf").alias("stored_tf"), F.col("b.tf").alias("real_tf"))
+    j = a.join(b, F.col("a.term").eqNullSafe(F.col("b.term")) & (F.col("a.node_id") == F.col("b.node_id")), "full_outer")
+    wrong = j.where(~F.col("a.at").eqNullSafe(F.col("b.at")))
+    return wrong.select(F.coalesce("a.term", "b.term").alias("term"), F.coalesce("a.node_id", "b.node_id").alias("node_id"), F.col("a.at").alias("stored"), F.col("b.at").alias("computed"))
 
 
 def client_rollup(sessions: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import Scratch, hadoop_fs
 from ..functions import redaction, text
 from ..operators import graph, heat, retrieval, search, stats, store, versions
 from ..tables import read
@@ -15,7 +16,7 @@ NOW = 1_780_000_000
 #: Tokens of an answer.
 BUDGET = 1_000
 QUERY = "retry budget snapshot"
-SEARCHED = ["label", "content", "node_type", "temperature", "last_accessed_at", "token_count"]
+SCORED = ["temperature", "last_accessed_at", "token_count"]
 FETCHED = ["parent_id", "temperature", "last_accessed_at", "token_count"]
 
 
@@ -52,10 +53,25 @@ class Tables:
     def pending(self) -> DataFrame:
         return self.raw("pending_relations").dropDuplicates(["id"])
 
+    def of(self, ids: DataFrame, *columns: str) -> DataFrame:
+        """``pick`` of a small set of ids: all other rows are left out before versions are compared."""
+        rows = self.raw("nodes").select("id", "updated_at", *columns).join(F.broadcast(ids), "id", "left_semi")
+        return store.nodes_now(rows).drop(*({"updated_at"} - set(columns)))
+
+    def index(self, stemmed: bool = False) -> search.Index:
+        """The search index of the nodes, written by the application's first search and kept while the table stays as it is."""
+        fs, path = hadoop_fs(self.spark, f"{self.d}/nodes.parquet")
+        key = (self.spark.sparkContext.applicationId, self.d, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength(), stemmed)
+        if key not in _indexes:
+            _indexes[key] = Scratch(self.spark, "index").base
+            search.write_index(self.pick(*search.SEARCHED), _indexes[key], stemmed)
+        return search.Index(self.spark, _indexes[key], stemmed)
+
     def last_snapshot(self) -> int:
         return self.raw("snapshots").agg(F.max("id")).first()[0] or 0
 
 
+_indexes: dict[tuple, str] = {}
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -262,13 +278,13 @@ _WORDS = search.query_terms(QUERY)
 @query(f"with {_NOW_NODES}, {_search_sql(_WORDS, False)} select id as node_id, round(relevance, 6) as relevance from hits")
 def search_terms_or(t: Tables) -> DataFrame:
     """Relevance of all nodes with any of the words."""
-    return search.bm25(search.node_tokens(t.pick("label", "content", "node_type")), _WORDS).withColumn("relevance", F.round("relevance", 6))
+    return t.index().relevance(_WORDS).withColumn("relevance", F.round("relevance", 6))
 
 
 @query(f"with {_NOW_NODES}, {_search_sql(_WORDS[:2], True)} select id as node_id, round(relevance, 6) as relevance from hits")
 def search_terms_and(t: Tables) -> DataFrame:
     """Relevance of all nodes with both words."""
-    return search.bm25(search.node_tokens(t.pick("label", "content", "node_type")), _WORDS[:2], require_all=True).withColumn("relevance", F.round("relevance", 6))
+    return t.index().relevance(_WORDS[:2], require_all=True).withColumn("relevance", F.round("relevance", 6))
 
 
 @query(
@@ -283,19 +299,20 @@ select r.id as node_id, round(relevance, 6) as relevance, round(s, 6) as score,
 )
 def search_budgeted(t: Tables) -> DataFrame:
     """The most relevant nodes, rescored, as many as the budget holds."""
-    return search.search(t.pick(*SEARCHED), QUERY, BUDGET, NOW).withColumn("relevance", F.round("relevance", 6)).withColumn("score", F.round("score", 6))
+    found = search.search(t.index(), lambda ids: t.of(ids, *SCORED), QUERY, BUDGET, NOW)
+    return found.withColumn("relevance", F.round("relevance", 6)).withColumn("score", F.round("score", 6))
 
 
 @query(f"with {_NOW_NODES}, toks as (select id, {_TOKENS} as tokens from cur) select id as node_id from toks where contains(' ' || array_to_string(tokens, ' ') || ' ', ' retry budget ')")
 def search_phrase(t: Tables) -> DataFrame:
     """Nodes with two words next to each other."""
-    return search.node_tokens(t.pick("label", "content", "node_type")).where(search.phrase("retry", "budget")).select("node_id")
+    return t.index().phrase("retry", "budget")
 
 
 @query(f"with {_NOW_NODES}, toks as (select id, {_TOKENS} as tokens from cur) select id as node_id from toks where len(list_filter(tokens, lambda t: starts_with(t, 'snap'))) > 0")
 def search_prefix(t: Tables) -> DataFrame:
     """Nodes with a word that begins so."""
-    return search.node_tokens(t.pick("label", "content", "node_type")).where(search.prefix("snap")).select("node_id")
+    return t.index().prefix("snap")
 
 
 @query(
@@ -304,19 +321,35 @@ where len(list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = 'retry' a
 )
 def search_near(t: Tables) -> DataFrame:
     """Nodes with two words close to each other."""
-    return search.node_tokens(t.pick("label", "content", "node_type")).where(search.near("retry", "snapshot", 10)).select("node_id")
+    return t.index().near("retry", "snapshot", 10)
+
+
+@query(f"with {_NOW_NODES}, toks as (select id, {_TOKENS} as tokens from cur) select id as node_id from toks where (list_contains(tokens, 'retry') or list_contains(tokens, 'rollback')) and list_contains(tokens, 'budget') and not list_contains(tokens, 'snapshot')")
+def search_boolean(t: Tables) -> DataFrame:
+    """Nodes with (one word or another) and a third, but not a fourth."""
+    i = t.index()
+    return search.without(search.both(search.either(i.word("retry"), i.word("rollback")), i.word("budget")), i.word("snapshot"))
+
+
+@query(
+    rf"""with {_NOW_NODES}, toks as (select id, {_TOKENS.replace("concat_ws(chr(10), label, content, node_type)", "coalesce(label, '')")} as l, {_TOKENS.replace("concat_ws(chr(10), label, content, node_type)", "coalesce(content, '')")} as c from cur)
+select id as node_id from toks where list_contains(l, 'budget') and not list_contains(c, 'retry')"""
+)
+def search_columns(t: Tables) -> DataFrame:
+    """Nodes with a word in the label that lack another in the content."""
+    return search.without(t.index().word("budget", "label"), t.index().word("retry", "content"))
 
 
 @query()
 def porter_search(t: Tables) -> DataFrame:
     """The budgeted search over word stems."""
-    return search.search(t.pick(*SEARCHED), "rewritten entries depending", BUDGET, NOW, stemmed=True)
+    return search.search(t.index(stemmed=True), lambda ids: t.of(ids, *SCORED), "rewritten entries depending", BUDGET, NOW)
 
 
 @query(f"with {_NOW_NODES}, toks as (select id, {_TOKENS} as tokens from cur), words as (select id, len(tokens) as doc_len, unnest(tokens) as term from toks) select term, count(distinct id) as docs, count(*) as n from words group by all")
 def postings_terms(t: Tables) -> DataFrame:
     """Documents and occurrences of each term of the inverted index."""
-    return search.postings(search.node_tokens(t.pick("label", "content", "node_type"))).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("n"))
+    return t.index().postings.where(F.col("term").isNotNull()).groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("at")).alias("n"))
 
 
 @query(

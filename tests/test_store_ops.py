@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from grovelake.durable import Scratch
 from grovelake.functions.ids import xxh64
-from grovelake.operators import graph, heat, retrieval, search, stats, store, versions
+from grovelake.operators import graph, heat, positions, retrieval, search, stats, store, versions
 from grovelake.operators.positions import with_position
 
 CHANGES = "id long, snapshot_id long, node_id string, op string, old_hash string, new_hash string, old_content string, new_content string, old_parent_id string, old_source_file string, old_node_type string, old_depth int, old_label string, old_format string, old_token_count int"
@@ -123,18 +124,49 @@ def test_fetch(spark):
         retrieval.fetch(nodes, "nobody", 10, 0)
 
 
-def test_search_conditions(spark):
-    rows = [("1", "Plan", "retry the budget soon", "text"), ("2", "Retry budget", "x", "heading"), ("3", "Other", "snapshots of it", "text"), ("4", None, None, "text")]
+def test_search_index(spark):
+    rows = [("1", "Plan", "retry the budget soon", "text"), ("2", "Retry budget", "x", "heading"), ("3", "Other", "snapshots of it", "text"), ("4", None, None, None)]
     nodes = spark.createDataFrame([(*r, 10, 0.5, None) for r in rows], "id string, label string, content string, node_type string, token_count int, temperature double, last_accessed_at long")
-    tokens = search.node_tokens(nodes)
     ids = lambda df: {r.node_id for r in df.collect()}
-    assert ids(search.bm25(tokens, ["retry", "snapshots"])) == {"1", "2", "3"} and ids(search.bm25(tokens, ["retry", "plan"], True)) == {"1"}
-    assert ids(tokens.where(search.phrase("retry", "budget"))) == {"2"} and ids(tokens.where(search.near("retry", "budget", 1))) == {"1", "2"}
-    assert ids(tokens.where(search.near("budget", "retry", 0))) == {"2"} and ids(tokens.where(search.prefix("snap"))) == {"3"}
-    assert ids(search.search(nodes, "snapshot", 100, 0, stemmed=True)) == {"3"} and search.search(nodes, "", 100, 0).count() == 0
-    p = search.postings(tokens)
-    assert stats.index_differences(p, p).count() == 0 and stats.index_differences(p.where("term <> 'plan'"), p).count() == 1
-    assert search.bm25(tokens.limit(0), ["x"]).count() == 0
+    i = search.write_index(nodes, Scratch(spark, "index").base)
+    assert i.counts.first().n == 4 and i.counts.first().words == 6 + 4 + 5
+    assert ids(i.relevance(["retry", "snapshots"])) == {"1", "2", "3"} and ids(i.relevance(["retry", "plan"], True)) == {"1"}
+    assert ids(i.phrase("retry", "budget")) == {"2"} and ids(i.near("retry", "budget", 1)) == {"1", "2"} and ids(i.phrase("budget", "soon", "text")) == {"1"}
+    assert ids(i.near("budget", "retry", 0)) == {"2"} and ids(i.prefix("snap")) == {"3"}
+    assert ids(i.word("retry", "label")) == {"2"} and ids(i.word("retry", "content")) == {"1"} and ids(i.word("heading", "node_type")) == {"2"} == ids(i.word("x", "content"))
+    assert ids(search.without(i.word("budget"), i.word("plan"))) == {"2"}
+    assert ids(search.both(search.either(i.word("plan"), i.word("other")), i.word("text"))) == {"1", "3"}
+    assert ids(i.relevance(["retry"], among=i.word("heading"))) == {"2"}
+    rows_of = lambda wanted: nodes.join(wanted, "id", "left_semi")
+    stems = search.write_index(nodes, Scratch(spark, "index").base, stemmed=True)
+    assert ids(search.search(stems, rows_of, "snapshot", 100, 0)) == {"3"} and search.search(i, rows_of, "", 100, 0).count() == 0
+    p = search.postings(nodes)
+    assert stats.index_differences(i.postings, p).count() == 0 and stats.index_differences(p.where("term <> 'plan'"), p).count() == 2
+    empty = search.write_index(nodes.limit(0), Scratch(spark, "index").base)
+    assert empty.relevance(["x"]).count() == 0 and empty.word("x").count() == 0
+
+
+def test_search_reads_only_the_index(spark, tmp_path):
+    nodes = spark.createDataFrame([(str(i), f"word{i}", "some text", "text", 10, 0.5, None) for i in range(50)], "id string, label string, content string, node_type string, token_count int, temperature double, last_accessed_at long")
+    nodes.write.parquet(str(tmp_path / "nodes"))
+    stored = spark.read.parquet(str(tmp_path / "nodes"))
+    i = search.write_index(stored, Scratch(spark, "index").base)
+    plan = search.search(i, lambda wanted: stored.select("id", "temperature", "last_accessed_at", "token_count").join(wanted, "id", "left_semi"), "word7", 100, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "label" not in plan
+
+
+def test_positions_and_sums_of_hot_groups(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "a", "b", None]), i, rng.choice([None, 1, 5, 9])) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "g string, i int, n int")
+    place, total = {}, {}
+    want = {}
+    for g, i, n in sorted(rows, key=lambda r: r[1]):
+        place[g], total[g] = place.get(g, -1) + 1, total.get(g, 0) + (n or 0)
+        want[i] = (place[g], total[g])
+    at = {r.i: r.position for r in positions.with_position(df, ["g"], ["i"]).collect()}
+    upto = {r.i: r.upto for r in positions.with_running_sum(df, ["g"], ["i"], "n").collect()}
+    assert {i: (at[i], upto[i]) for i in at} == want and len(upto) == 2_000
 
 
 def test_walks_against_enumeration(spark):
