@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A text of so many bytes counts as one token in budgets.
@@ -139,6 +139,29 @@ def strip_root(path, root) -> Column:
     return F.when((root != "") & F.startswith(path, below), F.substring(path, F.length(below) + 1, F.length(path))).otherwise(path)
 
 
+def common_folder(files: DataFrame, column: str) -> str:
+    """The longest folder that all paths share, ``""`` if none: what the least and the greatest list of folders share (one row)."""
+    steps = F.split(column, "/")
+    folders = F.slice(steps, F.lit(1), F.size(steps) - 1)
+    ends = files.where(F.col(column).isNotNull()).agg(F.min(folders), F.max(folders)).first()
+    shared = []
+    for a, b in zip(ends[0] or [], ends[1] or []):
+        if a != b:
+            break
+        shared.append(a)
+    return "/".join(shared)
+
+
+def short_hash(column, most: int = 8) -> Column:
+    return F.substring(column, 1, most)
+
+
+def pad(column, width: int) -> Column:
+    """Text filled up with spaces to ``width`` characters; longer ones stay whole, null is empty."""
+    text = F.coalesce(column, F.lit(""))
+    return F.rpad(text, F.greatest(F.lit(width), F.length(text)), F.lit(" "))
+
+
 def heat_color(temperature) -> Column:
     """``#rrggbb`` from cold blue over white to hot red."""
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), temperature))

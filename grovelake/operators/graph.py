@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
 from ..tables import blank_to_null
 from .orphans import SEPARATOR, label_key
 
+#: Nodes that an answer about one anchor names at most.
+MOST_RELATED = 100
+
 
 def resolve_refs(pending: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, target_id): the node that each pending reference means, null where none does.
@@ -35,6 +38,24 @@ def resolve_refs(pending: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.select("id", target.alias("target_id"))
 
 
+def settle(pending: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, pending rows that are left): what resolves becomes an edge (id, source_node_id, target_node_id, weight, origin) and is pending no more. A weight of 0 means 1."""
+    found = resolve_refs(pending, nodes).where(F.col("target_id").isNotNull())
+    weight = F.when(F.col("weight") == 0, F.lit(1.0)).otherwise(F.col("weight"))
+    edges = pending.join(found, "id").select("id", "source_node_id", F.col("target_id").alias("target_node_id"), weight.alias("weight"), "origin")
+    return edges, pending.join(found, "id", "left_anti")
+
+
+def nearest(reached: DataFrame, nodes: DataFrame, limit: int = MOST_RELATED) -> DataFrame:
+    """``related`` with (token_count, rank): each anchor's ``limit`` nodes that exist with the fewest links, then the greatest weight, then by id.
+
+    Spark keeps at most ``limit`` rows per anchor and task before the shuffle, so an anchor that reaches most nodes is no hot task.
+    """
+    rows = reached.join(nodes.select(F.col("id").alias("node_id"), "token_count"), "node_id")
+    rank = F.row_number().over(Window.partitionBy("anchor_id").orderBy("hop", F.col("weight").desc(), "node_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
 def related(relations: DataFrame, anchors: DataFrame, hops: int = 1, least_weight: float = 0.0, direction: str = "both") -> DataFrame:
     """(anchor_id, node_id, hop, weight): nodes reached from each anchor (``id``) in at most ``hops`` links.
 

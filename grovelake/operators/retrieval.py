@@ -71,6 +71,13 @@ def prefix_budget(candidates: DataFrame, budget: int, order: list, tokens: str =
     return kept.select(*candidates.columns)
 
 
+def clamp_depth(asked: int, default: int, most: int = 0) -> int:
+    """The depth that a request means: ``default`` for none (0 or less), at most ``most`` where that is above 0."""
+    if asked <= 0:
+        return default
+    return min(asked, most) if most > 0 else asked
+
+
 def context(nodes: DataFrame, anchor: str, depth: int = 32) -> DataFrame:
     """(node_id, relation): ancestors, descendants up to ``depth`` levels and siblings of one node, each node once under the first that applies; without the anchor. Siblings of a root are none.
 

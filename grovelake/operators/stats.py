@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..tables import blank_to_null
 from .heat import COLD
+from .positions import with_position
 
 HOT = 0.5
 
@@ -40,6 +41,16 @@ def upper_median(df: DataFrame, column: str):
             below += b["n"]
 
 
+def upper_medians(df: DataFrame, group: list[str], column: str) -> DataFrame:
+    """(group..., median): the value at place count // 2 (from 0) of each group's sorted values, nulls left out. A group may hold any part of all rows."""
+    placed = with_position(df.where(F.col(column).isNotNull()).select(*group, column), group, [column], "_at")
+    middle = placed.groupBy(*group).agg(F.floor(F.count("*") / 2).alias("_middle"))
+    same = F.col("a._at") == F.col("b._middle")
+    for g in group:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    return placed.alias("a").join(middle.alias("b"), same).select(*[f"a.{g}" for g in group], F.col(f"a.{column}").alias("median"))
+
+
 def global_stats(nodes: DataFrame, snapshots: DataFrame, pending: DataFrame, cold: float = COLD) -> DataFrame:
     """One row: counts, mean and upper median temperature, hot, cold and pinned nodes, tokens, snapshots, pending references."""
     median = upper_median(nodes, "temperature")

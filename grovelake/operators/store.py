@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import blank_to_null, current_rows
@@ -164,6 +164,6 @@ def file_summaries(nodes: DataFrame, diffs: DataFrame, snapshots: DataFrame) ->
     return joined.select("source_file", "nodes", "tokens", F.coalesce("compile_root", F.lit("")).alias("compile_root"))
 
 
-def latest_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row per key by ``order``."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") == 1).drop("_rn")
+def latest_root(snapshots: DataFrame) -> DataFrame:
+    """(compile_root): the root of the last snapshot that names one, null if none does."""
+    return snapshots.where(F.col("compile_root") != "").agg(F.max_by("compile_root", "id").alias("compile_root"))

@@ -98,6 +98,15 @@ def restore_at(head: DataFrame, diffs: DataFrame, target: int) -> DataFrame:
     )
 
 
+def rollback_target(target: int, head: int) -> int:
+    """The snapshot to go back to: it must be a positive number and not lie after ``head``."""
+    if target <= 0:
+        raise ValueError(f"no snapshot {target}")
+    if target > head:
+        raise ValueError(f"snapshot {target} is after the present one, {head}")
+    return target
+
+
 def rollback_deltas(head: DataFrame, diffs: DataFrame, target: int) -> DataFrame:
     """(node_id, op): the changes that lead from the current nodes back to snapshot ``target``: content and all of ``META`` count."""
     past = restore_at(head, diffs, target).where("restored")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import heat, render, stats, store, versions
 from ..sources import logs
 from . import store_queries as sq
+from .problems import _FOREST
 from .store_queries import Tables
 
 QUERIES: dict = {}
@@ -34,7 +35,14 @@ def compact_lines(t: Tables) -> DataFrame:
     return render.compact_lines(t.pick("node_type", "depth", "label", "token_count").withColumnRenamed("id", "node_id")).select("node_id", "line")
 
 
-@query()
+@query(
+    _FOREST
+    + """, rows as (select c.id, d.root, d.steps, d.id_path, c.pid from down d join cur c using (id) where d.steps < 5),
+full_now as (select * from (select *, row_number() over (partition by id order by updated_at desc) as rn from nodes) where rn = 1)
+select root as root_id, r.id as node_id, id_path, repeat('  ', steps) || '[' || r.id || '] ' || n.node_type || ': ' || coalesce(n.label, '') || ' (' || coalesce(n.token_count, 0) || ' tok)' ||
+  case when u.source_file is not distinct from n.source_file then '' else '  ' || coalesce(n.source_file, '') end as line
+from rows r join full_now n on n.id = r.id left join full_now u on u.id = r.pid"""
+)
 def tree_lines(t: Tables) -> DataFrame:
     """The trees down to five levels, as text."""
     return render.tree_lines(t.pick("parent_id", "node_type", "label", "source_file", "token_count")).select("root_id", "node_id", F.array_join("path", "/").alias("id_path"), "line")

@@ -434,37 +434,57 @@ def node_history(t: Tables) -> DataFrame:
     return versions.history(t.changes()).select("node_id", "rank", "id", "snapshot_id", "op")
 
 
-def _head(t: Tables) -> DataFrame:
-    kinds = dict(t.raw("nodes").dtypes)
-    present = versions.state_at(t.diffs, 1 << 62).select("node_id", "hash", "content")
-    return present.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in versions.META])
+def _head(t: Tables, changes: DataFrame) -> DataFrame:
+    """The mirror's present nodes: hash and content by the feed, place, type, label and size from the store's current rows."""
+    present = versions.state_at(changes, 1 << 62).select("node_id", "hash", "content")
+    return present.join(t.pick(*versions.META).withColumnRenamed("id", "node_id"), "node_id", "left").select("node_id", "hash", "content", *versions.META)
 
 
-_RESTORE = f"""{_CHANGES},
-head as (select node_id, arg_max(op, (snapshot_id, id)) as op from ch group by all),
+def _old_sides(t: Tables) -> DataFrame:
+    return t.changes("old_content", "new_content", *[f"old_{c}" for c in versions.META])
+
+
+_META_NOW = ", ".join(f"{'pid as parent_id' if c == 'parent_id' else c}" for c in versions.META)
+_RESTORE = f"""{_NOW_NODES}, {_CHANGES}, meta as (select id as node_id, {_META_NOW} from cur),
 lasts as (select * from (select *, row_number() over (partition by node_id order by snapshot_id desc, id desc) as rn from ch) where rn = 1),
+head as (select l.node_id, l.new_hash as hash, l.new_content as content, m.* exclude (node_id) from lasts l left join meta m using (node_id) where l.op <> 'rem'),
 firsts as (select * from (select *, row_number() over (partition by node_id order by snapshot_id, id) as rn from ch where snapshot_id > {_LAST_ID} // 2) where rn = 1),
-past as (select coalesce(h.node_id, f.node_id) as node_id, case when f.node_id is null then h.new_hash else f.old_hash end as hash, case when f.node_id is null then h.new_content else f.old_content end as content,
-  f.old_source_file as source_file, f.old_label as label, f.old_depth as depth, f.node_id is null or f.old_source_file is not null as restored
-  from (from lasts where op <> 'rem') h full join firsts f on f.node_id = h.node_id where f.op is null or f.op <> 'add')"""
+unchanged as (select *, true as restored from head where node_id not in (select node_id from firsts)),
+undone as (select f.node_id, f.old_hash as hash, f.old_content as content, {", ".join(f"f.old_{c} as {c}" for c in versions.META)}, true as restored from firsts f where f.op <> 'add' and f.old_source_file is not null),
+placed as (select f.node_id, f.old_hash as hash, f.old_content as content, {", ".join(f"h.{c}" for c in versions.META)}, h.source_file is not null as restored from firsts f left join head h using (node_id) where f.op <> 'add' and f.old_source_file is null),
+past as (from unchanged union all by name from undone union all by name from placed)"""
 
 
 @query(f"with {_RESTORE} select node_id, hash, content, source_file, label, depth, restored from past")
 def restore_at(t: Tables) -> DataFrame:
     """The mirror as it was after half of the snapshots, from the present and the old sides of later changes."""
-    past = versions.restore_at(_head(t), t.diffs, t.last_snapshot() // 2)
+    changes = _old_sides(t)
+    past = versions.restore_at(_head(t, changes), changes, t.last_snapshot() // 2)
     return past.select("node_id", "hash", "content", "source_file", "label", "depth", "restored")
 
 
 @query(
-    f"""with {_RESTORE}, h as (select node_id, new_hash as hash from lasts where op <> 'rem'), p as (from past where restored)
-select * from (select coalesce(h.node_id, p.node_id) as node_id,
-  case when h.node_id is null then 'add' when p.node_id is null then 'rem' when p.source_file is not null or h.hash is distinct from p.hash then 'mod' end as op
-  from h full join p on p.node_id = h.node_id) where op is not null"""
+    f"""with {_RESTORE}, sides as (select 'now' as side, node_id, hash, {", ".join(versions.META)} from head union all by name select 'then' as side, node_id, hash, {", ".join(versions.META)} from past where restored),
+kinds as (select node_id, count(*) as sides, min(side) as one_side, count(distinct coalesce(hash, '~') || '|' || concat_ws('|', {", ".join(f"coalesce({c}::varchar, '~')" for c in versions.META)})) as forms from sides group by node_id)
+select node_id, case when sides = 2 then 'mod' when one_side = 'then' then 'add' else 'rem' end as op from kinds where sides = 1 or forms = 2"""
 )
 def rollback_deltas(t: Tables) -> DataFrame:
-    """The changes that would lead back there."""
-    return versions.rollback_deltas(_head(t), t.diffs, t.last_snapshot() // 2)
+    """The changes that would lead back there: content and seven columns of metadata count."""
+    changes = _old_sides(t)
+    return versions.rollback_deltas(_head(t, changes), changes, versions.rollback_target(t.last_snapshot() // 2, t.last_snapshot()))
+
+
+@query(
+    f"""with {_RESTORE}, b as (select h.node_id from head h join past p using (node_id) where restored and p.hash is not distinct from h.hash)
+select {", ".join(f"count(*) filter (p.{c} is distinct from h.{c}) as {c}" for c in versions.META)} from b join head h using (node_id) join past p using (node_id)"""
+)
+def rollback_moves(t: Tables) -> DataFrame:
+    """Of the nodes whose content that rollback leaves alone, how many differ in each column of metadata."""
+    changes = _old_sides(t)
+    head = _head(t, changes)
+    past = versions.restore_at(head, changes, t.last_snapshot() // 2).where("restored")
+    same = head.alias("h").join(past.alias("p"), "node_id").where(F.col("h.hash").eqNullSafe(F.col("p.hash")))
+    return same.agg(*[F.count_if(~F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}"))).alias(c) for c in versions.META])
 
 
 @query()

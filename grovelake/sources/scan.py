@@ -23,7 +23,7 @@ def ignore_rules(lines: list[str]) -> list[tuple[bool, bool, str]]:
     """(ignored, folders only, Java pattern) of each line of an ignore file.
 
     ``#`` begins a comment, ``!`` takes paths back in, ``\\`` before either is literal; a trailing ``/`` means folders
-    only; a pattern without another ``/`` matches a name anywhere, otherwise it is anchored; ``**`` spans folders.
+    only; ``[...]`` is one of some characters; a pattern without another ``/`` matches a name anywhere, otherwise it is anchored; ``**`` spans folders.
     """
     rules = []
     for raw in lines:
@@ -43,12 +43,28 @@ def ignore_rules(lines: list[str]) -> list[tuple[bool, bool, str]]:
             if p == "**":
                 out += ".*" if last else "(?:.*/)?"
             else:
-                name = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in p)
-                out += name + ("" if last else "/")
+                out += _name_pattern(p) + ("" if last else "/")
         rules.append((not back, folder, out))
     return rules
 
 
+def _name_pattern(name: str) -> str:
+    """``*``, ``?`` and ``[...]`` (``!`` or ``^`` negates) within one name."""
+    out = ""
+    for piece in re.findall(r"\[[!^]?\]?[^\]]*\]|.", name, re.S):
+        if piece == "*":
+            out += "[^/]*"
+        elif piece == "?":
+            out += "[^/]"
+        elif len(piece) > 2 and piece[0] == "[":
+            negated = piece[1] in "!^"
+            inner = re.sub(r"([\\\[\]&^])", r"\\\1", piece[2 if negated else 1 : -1])
+            out += f"[{'^/' if negated else ''}{inner}]"
+        else:
+            out += re.escape(piece)
+    return out
+
+
 def ignored(relative, lines: list[str]) -> Column:
     """Is the path, or a folder on its way, ignored? The last rule that matches decides. Few rules, folded into one expression."""
     result = F.lit(False)
@@ -86,7 +102,7 @@ def deleted_paths(known: DataFrame, seen: DataFrame) -> DataFrame:
 def changed_paths(known: DataFrame, seen: DataFrame, settle_seconds: int, now) -> DataFrame:
     """Files (source_file, modified_at) that are new or newer than known, and untouched for ``settle_seconds``."""
     old = known.groupBy("source_file").agg(F.max("modified_at").alias("_old"))
-    quiet = F.col("modified_at") <= F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(settle_seconds))
+    quiet = F.col("modified_at") <= F.lit(now).cast(seen.schema["modified_at"].dataType) - F.make_dt_interval(secs=F.lit(settle_seconds))
     return seen.join(old, "source_file", "left").where((F.col("_old").isNull() | (F.col("modified_at") > F.col("_old"))) & quiet).drop("_old")
 
 

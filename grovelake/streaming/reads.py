@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -105,6 +105,22 @@ def activity_drained(reads: DataFrame, unit: str = "day") -> DataFrame:
     return parts.groupBy("start", "event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
+def bursts_drained(reads: DataFrame, node: str = "user_id", ts: str = "ts", hours: int = 12) -> DataFrame:
+    """(node_id, start, last, n): bursts of reads between gaps of at least ``hours``, after a stream that is drained, whatever its order.
+
+    Batches keep node and time. Reads are first summed per node and hour (no burst ends within an hour's reads), so a
+    node's log is a few rows where gaps are looked for. Null nodes and times are left out.
+    """
+    kept = drain(reads.select(F.col(node).alias("node_id"), F.col(ts).alias("at")), "append", "bursts-drained")
+    kept = kept.where(F.col("node_id").isNotNull() & F.col("at").isNotNull())
+    per_hour = kept.groupBy("node_id", F.date_trunc("hour", "at").alias("hour")).agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n"))
+    w = Window.partitionBy("node_id").orderBy("hour")
+    before = F.lag("b").over(w)
+    opens = before.isNull() | (F.unix_micros("a") - F.unix_micros(before) >= hours * 3_600_000_000)
+    numbered = per_hour.withColumn("_opens", opens.cast("int")).withColumn("burst", F.sum("_opens").over(w))
+    return numbered.groupBy("node_id", "burst").agg(F.min("a").alias("start"), F.max("b").alias("last"), F.sum("n").alias("n")).drop("burst")
+
+
 def latest(updates: DataFrame, key: str) -> DataFrame:
     """The last update of each key."""
     rest = [c for c in updates.columns if c not in (key, "batch")]
