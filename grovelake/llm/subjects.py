@@ -266,7 +266,7 @@ def train(units: DataFrame, areas: DataFrame, labels: DataFrame | None = None, d
     spark = units.sparkSession
     ship(spark)
     subjects = sorted(r[0].strip().lower() for r in exact(areas, "subject").where(F.col("subject").isNotNull()).distinct().collect())
-    weak_rows = weak_labels(units, subjects, labels)
+    _, weak_rows = Scratch(spark, "weak-labels").write(weak_labels(units, subjects, labels))
     sample = training_sample(units, weak_rows, docs)
     lists, sizes = sample["sizes"].combine_chunks(), sample["sizes"].combine_chunks().flatten().to_numpy()
     index = sample["buckets"].combine_chunks().flatten().to_numpy()
@@ -329,18 +329,26 @@ def _fit_all(spark, shared, subjects, idf, columns, use, target, steps) -> Model
     return Model(subjects, idf, weights, bias)
 
 
-def _documents(b: pa.RecordBatch, model: Model) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, probabilities of its sentences and items) of each document of a batch of (n_units, sizes, buckets)."""
+#: Documents that are scored at a time.
+SCORED_DOCS = 512
+
+
+def _best_by_block(b: pa.RecordBatch, model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, units per document, and per clear sentence or item: its document, subject, probability) of a batch of (n_units, sizes, buckets), some documents at a time."""
+    n_units = b.column(0).to_numpy()
     upto, sizes = b.column(1).offsets.to_numpy(), b.column(1).flatten().to_numpy()
     upto = upto - upto[0]
     edges = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     buckets = b.column(2).flatten().to_numpy()
-    for at in range(0, b.num_rows, 512):
-        end = min(at + 512, b.num_rows)
-        p = model.probabilities(buckets[edges[upto[at]] : edges[upto[end]]], sizes[upto[at] : upto[end]])
-        for i in range(at, end):
-            first = upto[i] - upto[at]
-            yield i, p[first : first + b.column(0)[i].as_py()]
+    for at in range(0, b.num_rows, SCORED_DOCS):
+        end = min(at + SCORED_DOCS, b.num_rows)
+        rows = upto[at : end + 1]
+        doc = np.repeat(np.arange(end - at), np.diff(rows))
+        place = np.arange(rows[0], rows[-1]) - rows[doc]
+        p = model.probabilities(buckets[edges[rows[0]] : edges[rows[-1]]], sizes[rows[0] : rows[-1]])
+        top = model.best(p, 0.0, CLEAR)
+        ok = (top >= 0) & (place < n_units[at:end][doc])  # headings come after the units
+        yield at, n_units[at:end], doc[ok], top[ok], p[ok, top[ok]]
 
 
 def _held_out(model_ref):
@@ -350,14 +358,13 @@ def _held_out(model_ref):
         counts = np.zeros((k, len(GRID), 3), np.int64)
         for b in batches:
             held = b.column(3).to_pylist()
-            for row, p in _documents(b, model):
-                want = np.isin(model.subjects, held[row])
-                for j in range(k):
-                    for i, t in enumerate(GRID):
-                        least = np.full(k, THRESHOLD)
-                        least[j] = t
-                        got = len(p) > 0 and (model.best(p, least, CLEAR) == j).mean() >= LEAST_SHARE
-                        counts[j, i] += (got and want[j], got, want[j])
+            for at, n, doc, top, p in _best_by_block(b, model):
+                want = np.array([np.isin(model.subjects, held[at + i]) for i in range(len(n))]).reshape(len(n), k)
+                for i, t in enumerate(GRID):
+                    sure = p >= t
+                    found = np.bincount(doc[sure] * k + top[sure], minlength=len(n) * k).reshape(len(n), k)
+                    got = (n[:, None] > 0) & (found >= LEAST_SHARE * n[:, None])
+                    counts[:, i] += np.stack([(got & want).sum(0), got.sum(0), want.sum(0)], axis=1)
         j, i = (x.ravel().astype(np.int32) for x in np.indices(counts.shape[:2]))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (j, i, *(counts[:, :, at].ravel() for at in range(3)))], names=["j", "i", "hits", "got", "want"])
 
@@ -397,18 +404,15 @@ def _shares(model_ref):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_ref.value
         k = len(model.subjects)
+        names = pa.array(model.subjects, pa.string())
         for b in batches:
-            rows, subjects, hits, shares = [], [], [], []
-            for i, p in _documents(b, model):
-                best = model.best(p, model.thresholds, CLEAR) if len(p) else np.zeros(0, np.int64)
-                n = np.bincount(best[best >= 0], minlength=k)
-                for j in np.nonzero(n)[0]:
-                    rows.append(i)
-                    subjects.append(model.subjects[j])
-                    hits.append(int(n[j]))
-                    shares.append(n[j] / len(p))
-            key = b.column(3).take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([key, pa.array(subjects, pa.string()), pa.array(hits, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "subject", "n_units", "share"])
+            for at, n, doc, top, p in _best_by_block(b, model):
+                sure = p >= model.thresholds[top]
+                found = np.bincount(doc[sure] * k + top[sure], minlength=len(n) * k)
+                one = np.nonzero(found)[0]
+                share = found[one] / n[one // k]
+                columns = [b.column(3).take(pa.array(at + one // k)), names.take(pa.array(one % k)), pa.array(found[one]), pa.array(share)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "subject", "n_units", "share"])
 
     return run
 

@@ -13,6 +13,10 @@ _INVISIBLE = re.compile(r"[​-‏⁠﻿­]")
 _FRONT = re.compile(r"\A\s*(---|\+\+\+)[ \t]*\n.*?\n(?:\1|\.\.\.)[ \t]*(?:\n|\Z)", re.S)
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+).*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.S | re.M)
 _ENCODED = re.compile(r"(?:data:[\w/+.;=-]+,)?(?:[A-Za-z0-9+/_-]{40,}={0,2}|(?:[0-9a-fA-F]{2}[ :]?){20,})")
+# the same in three passes, which is several times as fast within running text
+_DATA_URL = re.compile(r"data:[\w/+.;=-]+,[A-Za-z0-9+/_-]{40,}={0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+_PAIRS = re.compile(r"[0-9a-fA-F]{2}[ :]?[0-9a-fA-F]{2}[ :]?(?:[0-9a-fA-F]{2}[ :]?){18,}")
 _RULE = re.compile(r"^\s*(?:[-*_=]\s*){3,}$")
 _HEADING = re.compile(r"^\s{0,3}#{1,6}\s")
 _ITEM = re.compile(r"^\s*(?:[-*+•–]|\d{1,3}[.)])\s+(?:\[[ xX]\]\s+)?")
@@ -29,12 +33,18 @@ def clean(text: str) -> str:
     return _INVISIBLE.sub("", unicodedata.normalize("NFKC", _BREAKS.sub("\n", text)))
 
 
+def _without_encoded(text: str) -> str:
+    if "data:" in text:
+        text = _DATA_URL.sub(" ", text)
+    return _PAIRS.sub(" ", _RUN.sub(" ", text))
+
+
 def _keep(unit: str) -> bool:
     return bool(_LETTERS.search(unit)) and not _LINKS_ONLY.match(unit)
 
 
 def _sentences(paragraph: str) -> list[str]:
-    return [s.strip() for s in _SENTENCE.split(_ENCODED.sub(" ", paragraph)) if _keep(s)]
+    return [s.strip() for s in _SENTENCE.split(_without_encoded(paragraph)) if _keep(s)]
 
 
 def _prose(text: str) -> tuple[list[str], list[str]]:
@@ -53,7 +63,7 @@ def _prose(text: str) -> tuple[list[str], list[str]]:
         if _HEADING.match(line):
             heads.append(line.strip().strip("#").strip())
         elif item and not _RULE.match(line):
-            rest = _ENCODED.sub(" ", line[item.end() :]).strip()
+            rest = _without_encoded(line[item.end() :]).strip()
             if _keep(rest):
                 units.append(rest)
     return units, heads
