@@ -223,11 +223,12 @@ def conversations(messages: DataFrame) -> DataFrame:
     _, kinds = scratch.write(turn_kinds(messages))
     _, segments = scratch.write(order_segments(kinds))
     good = session_verdicts(kinds, segments).where(F.col("reason").isNull()).select("session_id")
-    ranks = segments.select("session_id", "segment", F.explode("ranks").alias("r")).select("session_id", "segment", "r.turn", "r.kind", "r.rank")
+    # sessions are sorted out while they are a row per segment; messages meet them by session, turn and kind, so a long one is spread
+    ranks = segments.join(good, "session_id", "left_semi").select("session_id", "segment", F.explode("ranks").alias("r")).select("session_id", "segment", "r.turn", "r.kind", "r.rank")
     text = F.array_join(F.filter(F.transform("content", lambda p: p["text"]), lambda t: t.isNotNull()), "\n")
     messages = exact(messages, "session_id", "turn", "role", "ts", "content", "message_id")
     rows = messages.select("session_id", F.col("turn").cast("long").alias("turn"), speaker(F.col("role")).alias("kind"), "ts", "message_id", F.to_json("content").alias("_content"), text.alias("text"))
     once = rows.groupBy("session_id", "turn", "kind", "ts", F.xxhash64("_content").alias("_hash"), "_content").agg(F.min("message_id").alias("message_id"), F.first("text").alias("text"))
-    placed = once.join(good, "session_id", "left_semi").join(ranks, ["session_id", "turn", "kind"])
+    placed = once.join(ranks, ["session_id", "turn", "kind"])
     order = ["segment", "rank", F.col("ts").asc_nulls_last(), "message_id"]
     return with_position(placed, ["session_id"], order).select("session_id", "position", "message_id", "kind", "turn", "text")
