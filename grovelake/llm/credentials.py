@@ -58,7 +58,7 @@ KEY_KINDS = ["api", "access", "secret", "private", "signing", "webhook", "auth",
 # Words that stand for "no value" or for another kind of value.
 NO_VALUES = ["true", "false", "null", "none", "nil", "undefined", "yes", "no", "on", "off", "string", "str", "bearer", "basic", "digest", "oauth", "required", "optional", "enabled", "disabled", "env", "vault", "prompt", "ask", "auto", "default", "redacted", "masked", "hidden", "removed", "changed", "rotated", "tbd", "todo", "n/a", "na", "example", "placeholder", "dummy"]
 PLACEHOLDER = re.compile(r"(?i)^(?:your[_-]?|my[_-]?|insert|replace|put|enter|add|paste|change[_-]?this|to[_-]?be)[\w-]*(?:here|key|token|secret|password|me|this)|^(?:redacted|masked|hidden|removed|example|placeholder)\b|<[^<>]*>|^\[[^\]]*\]$|«|»")
-REFERENCE = re.compile(r"(?i)\$\{|\$\(|\{\{|^%\w+%$|^\$\w|^%\(|^(?:op|vault|ssm|secret|secrets|env|ref|kms|file|keyring|aws-sm|gcp-sm|azurekeyvault)[:+]|^arn:|^projects/[^/]+/secrets/|^!\w|^@\w+\.|^(?:os\.|process\.env|ENV\[|getenv|System\.|config\.|settings\.|self\.|this\.|secrets?\.|vars?\.|env\.)")
+REFERENCE = re.compile(r"(?i)^%[-+.0-9]*[a-z]$|^\{[\w.]*\}$|\$\{|\$\(|\{\{|^%\w+%$|^\$\w|^%\(|^(?:op|vault|ssm|secret|secrets|env|ref|kms|file|keyring|aws-sm|gcp-sm|azurekeyvault)[:+]|^arn:|^projects/[^/]+/secrets/|^!\w|^@\w+\.|^(?:os\.|process\.env|ENV\[|getenv|System\.|config\.|settings\.|self\.|this\.|secrets?\.|vars?\.|env\.)")
 # the last name in a run of its letters: it begins with a letter
 _LAST_NAME = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*\Z", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")

@@ -52,6 +52,9 @@ FOUND = [
     ("postgres://reporting@h/n and postgres://h:5432/n", None),
     ("commit 4778ffe614b554cccf3291017b520f41f47539d2", None),
     ('read -s -p "Password: " PASSWORD', None),
+    ('dsn = "mysql://app:%s@h:3306/x" % secret', None),
+    ('f"redis://app:{pw}@h/0" and "redis://app:{}@h".format(p)', None),
+    ('password = "%v"', None),
     ('password = "a\\"b7c"', 'a\\"b7c"'),
     ("sk-" + "a1B2" * 6 + "üüü", "sk-" + "a1B2" * 6),
     ("x" * 90 + "_password = 'quartz-lantern-12'", "quartz-lantern-12"),
