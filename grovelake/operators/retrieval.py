@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
+from .hierarchy import resolve_hierarchy
 from .positions import with_position, with_running_sum
 
 #: Candidates that a budget is filled from at a time; see ``greedy_budget``.
 BLOCK = 1_024
-#: Ids of one batch at most, and rows that are numbered in one task.
-MOST_IDS, FEW_ROWS = 256, 100_000
+#: Ids of one batch at most, rows that are numbered in one task, and ancestors that are looked up one by one.
+MOST_IDS, FEW_ROWS, LOOKUPS = 256, 100_000, 64
 
 
 def recency(last_accessed_at, now: int) -> Column:
@@ -82,12 +83,18 @@ def context(nodes: DataFrame, anchor: str, depth: int = 32) -> DataFrame:
     """(node_id, relation): ancestors, descendants up to ``depth`` levels and siblings of one node, each node once under the first that applies; without the anchor. Siblings of a root are none.
 
     A node on a loop has neither ancestors nor descendants. The answer is reached from the anchor: one look-up per
-    ancestor, one join per level below with the level before, a written table which the planner broadcasts if its size
-    allows. Nothing is computed for the rest of the forest but a scan of id and parent per level.
+    ancestor (from ``LOOKUPS`` on, pointer doubling), one join per level below with the level before, a written table
+    which the planner broadcasts if its size allows. Nothing is computed for the rest of the forest but a scan of id and
+    parent per level.
     """
-    spark = nodes.sparkSession
+    _, links = Scratch(nodes.sparkSession, "links").write(nodes.select("id", "parent_id"))
+    return _reach(links, anchor, depth)
+
+
+def _reach(links: DataFrame, anchor: str, depth: int) -> DataFrame:
+    """``context`` over a written table of id and parent_id."""
+    spark = links.sparkSession
     scratch = Scratch(spark, "context")
-    _, links = scratch.write(nodes.select("id", "parent_id"))
     up, at, loop = [], anchor, False
     while at is not None and not loop:
         row = links.where(F.col("id") == at).select("parent_id").first()
@@ -95,6 +102,10 @@ def context(nodes: DataFrame, anchor: str, depth: int = 32) -> DataFrame:
         if row and at is not None:
             loop = at == anchor or at in up
             up.append(at)
+        if len(up) == LOOKUPS and not loop:
+            own = resolve_hierarchy(links).where(F.col("node_id") == anchor).select("path").first()
+            loop, up = own["path"] is None, up[:1] if own["path"] is None else own["path"][-2::-1]
+            break
     parent = up[0] if up else None
     if up and not loop and row is None:
         up.pop()  # the chain ends at an id without a row
@@ -129,7 +140,7 @@ def fetch(nodes: DataFrame, anchor: str, budget: int, now: int, depth: int = 32)
     head = own.select("token_count").collect()
     if not head:
         raise KeyError(anchor)
-    rest = nodes.withColumnRenamed("id", "node_id").join(context(nodes, anchor, depth), "node_id")
+    rest = nodes.withColumnRenamed("id", "node_id").join(_reach(nodes.select("id", "parent_id"), anchor, depth), "node_id")
     rest = rest.select("node_id", "relation", score(F.lit(1.0), F.col("temperature"), F.col("last_accessed_at"), now).alias("score"), "token_count")
     if budget > 0:
         room = budget - (head[0][0] or 0)

@@ -124,6 +124,18 @@ def test_fetch(spark):
         retrieval.fetch(nodes, "nobody", 10, 0)
 
 
+def test_context_of_deep_broken_and_looping_chains(spark):
+    deep = [(f"d{i:03d}", f"d{i - 1:03d}" if i else None) for i in range(150)]
+    loops = [("x", "y"), ("y", "x"), ("below", "x"), ("z", "z")] + [(f"l{i:03d}", f"l{(i + 1) % 100:03d}") for i in range(100)]
+    nodes = spark.createDataFrame([*deep, *loops, ("b", "gone"), ("b2", "gone"), ("c", "b")], "id string, parent_id string")
+    of = lambda a, depth=32: {r.node_id: r.relation for r in retrieval.context(nodes, a, depth).collect()}
+    got = of("d120", 5)
+    assert {k for k, v in got.items() if v == "ancestor"} == {f"d{i:03d}" for i in range(120)} and {k for k, v in got.items() if v == "descendant"} == {f"d{i:03d}" for i in range(121, 126)}
+    assert of("b") == {"b2": "sibling", "c": "descendant"} and of("c") == {"b": "ancestor"} and of("z") == {}
+    assert of("y") == {"below": "sibling"}
+    assert of("below") == {"y": "sibling"} and of("l007") == {} and of("x") == {}
+
+
 def test_search_index(spark):
     rows = [("1", "Plan", "retry the budget soon", "text"), ("2", "Retry budget", "x", "heading"), ("3", "Other", "snapshots of it", "text"), ("4", None, None, None)]
     nodes = spark.createDataFrame([(*r, 10, 0.5, None) for r in rows], "id string, label string, content string, node_type string, token_count int, temperature double, last_accessed_at long")
